@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, quantiles, raking, tokens
+from corpusloom.llm import lookalike, mojibake, packing, quantiles, raking, tokens
 from corpusloom.session import table
 
 #: The settings table of context windows is fixed; a longer one is refused.
 MOST_WINDOWS = 100
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.restore(table(spark, base, "summary_records")).select("row_id", "field")
+
+
+def p2_restored(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.restore(table(spark, base, "summary_records"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    records = table(spark, base, "summary_records")
+    changed = lookalike.canonical(records).select("row_id", "field")
+    return changed.join(mojibake.restore(records).select("row_id", "field"), ["row_id", "field"], "left_anti")
+
+
+def p3_canonical(spark: SparkSession, base: str) -> DataFrame:
+    return lookalike.canonical(table(spark, base, "summary_records"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return raking.unmet(table(spark, base, "corpus_records"), table(spark, base, "sampling_targets"), table(spark, base, "manifest_config"))
 
@@ -56,6 +74,10 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_sample": p5_sample,
     "p5_report": p5_report,
