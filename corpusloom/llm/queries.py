@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, mojibake, packing, quantiles, raking, tokens
+from corpusloom.llm import lookalike, mojibake, overlap, packing, quantiles, raking, tokens
 from corpusloom.session import table
 
 #: The settings table of context windows is fixed; a longer one is refused.
 MOST_WINDOWS = 100
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    pairs = overlap.record_pairs(*overlap.overlaps(table(spark, base, "summary_records")))
+    return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+
+
+def p1_report(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.report(*overlap.overlaps(table(spark, base, "summary_records")))
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.restore(table(spark, base, "summary_records")).select("row_id", "field")
 
@@ -74,6 +83,8 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
