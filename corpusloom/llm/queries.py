@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, mojibake, overlap, packing, quantiles, raking, tokens
+from corpusloom.llm import lookalike, mojibake, overlap, packing, pairs, quantiles, raking, tokens
 from corpusloom.session import table
 
 #: The settings table of context windows is fixed; a longer one is refused.
@@ -15,8 +15,8 @@ MOST_WINDOWS = 100
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    pairs = overlap.record_pairs(*overlap.overlaps(table(spark, base, "summary_records")))
-    return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+    found = overlap.record_pairs(*overlap.overlaps(table(spark, base, "summary_records")))
+    return found.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
 
 
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
@@ -41,6 +41,10 @@ def p3_canonical(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.canonical(table(spark, base, "summary_records"))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return pairs.defects(table(spark, base, "teacher_records"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return raking.unmet(table(spark, base, "corpus_records"), table(spark, base, "sampling_targets"), table(spark, base, "manifest_config"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_sample": p5_sample,
     "p5_report": p5_report,
