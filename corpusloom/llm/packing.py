@@ -128,15 +128,15 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return place
 
 
-def fill(lengths: DataFrame, windows: list[tuple[int, int]], key: str = "doc_id", size: str = "n_tokens", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def fill(lengths: DataFrame, windows: list[tuple[int, int]], key: str = "doc_id", size: str = "n_tokens", shard_rows: int = SHARD_ROWS, rows: int | None = None) -> DataFrame:
     """Assign every row of `lengths` to containers, for each (window_id, capacity) of `windows` (a fixed, short list).
 
     Gives window_id, capacity, key, piece, start_token, n_tokens, container_id. A row longer than the capacity becomes
     full pieces, each filling a container, and one rest that is packed like any item; no other row is split. Rows of
     length 0 or null take no space and go to their shard's first container. Repeated keys are packed each on their
-    own. An empty table gives an empty table. container_id is unique in a window, not across windows.
+    own. An empty table gives an empty table. `rows`, if known, saves counting them. container_id is unique in a window, not across windows.
     """
-    rows = lengths.count()
+    rows = lengths.count() if rows is None else rows
     shards = max(1, -(-rows // shard_rows))
     kind = lengths.schema[key].dataType.simpleString()
     windows = [(int(w), int(c)) for w, c in windows if c and c > 0]

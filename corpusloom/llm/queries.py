@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, mojibake, overlap, packing, pairs, quantiles, raking, tokens
+from corpusloom.llm import lookalike, mojibake, overlap, packing, pairs, pii, quantiles, raking, tokens
 from corpusloom.session import table
 
 #: The settings table of context windows is fixed; a longer one is refused.
@@ -74,8 +74,9 @@ def _containers(spark: SparkSession, base: str) -> DataFrame:
     windows = table(spark, base, "context_windows").select("window_id", "capacity_tokens").limit(MOST_WINDOWS + 1).collect()
     if len(windows) > MOST_WINDOWS:
         raise ValueError(f"more than {MOST_WINDOWS} context windows")
-    lengths = tokens.encode(table(spark, base, "documents"), ids=False)
-    return packing.fill(lengths, [(w.window_id, w.capacity_tokens) for w in windows])
+    documents = table(spark, base, "documents")
+    lengths = tokens.encode(documents, ids=False)
+    return packing.fill(lengths, [(w.window_id, w.capacity_tokens) for w in windows], rows=documents.count())
 
 
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
@@ -86,6 +87,14 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return packing.report(_containers(spark, base))
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.items(table(spark, base, "documents")).select("doc_id", "pii_type", "nth")
+
+
+def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return pii.redacted(table(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -102,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 ORACLE: dict[str, str] = {
