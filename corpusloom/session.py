@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,26 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `base`."""
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of lineages that `cut` has ended; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per application: their Python need not have it on its path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(str(archive))
+    return spark
