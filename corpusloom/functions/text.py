@@ -7,6 +7,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,7 +52,7 @@ def word_count(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """Lower-case words after compatibility normalisation."""
+    """Lower-case words after compatibility normalisation (a column made before: an Arrow UDF can't stand in lambdas)."""
     return split(F.lower(nfkc(x)))
 
 
@@ -99,27 +100,30 @@ def repetition_rate(words: Column, n: int = 3) -> Column:
     return F.when(F.size(words) >= n, 1.0 - distinct_n(words, n)).otherwise(0.0)
 
 
-def most_repeats(words: Column, n: int = 3) -> Column:
-    """How often the most frequent n-gram occurs: the longest run of equal neighbours once sorted."""
-    g = F.array_sort(ngrams(words, n))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def _repetition(text: str | None, words: int, n: int, repeats: int) -> tuple[bool, bool]:
+    w = (text or "").split()
+    if len(w) < words:
+        return False, False
+    grams = Counter(zip(*(w[i:] for i in range(n)), strict=False))
+    broken = max(grams.values()) >= repeats
+    folded = [x.casefold() for x in w]
+    total = len(w) - n + 1
+    different = len(set(zip(*(folded[i:] for i in range(n)), strict=False)))
+    return broken, broken or 1.0 - different / total >= 0.25
 
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.aggregate(g, start, step, lambda s: s["best"])
+def repetition(x: Column, words: int = 32, n: int = 3, repeats: int = 8) -> Column:
+    """(degenerate, repetition) of a text of at least `words` words.
 
+    degenerate: some n-gram occurs `repeats` times, case counts. repetition: that, or a quarter of the n-grams, case
+    ignored, are repeats. An Arrow UDF: lambdas over a text's n-grams would evaluate its split once per n-gram.
+    """
 
-def degenerate(x: Column, words: int = 32, n: int = 3, repeats: int = 8) -> Column:
-    """At least so many words, and some n-gram so often; case counts."""
-    w = split(x)
-    return (F.size(w) >= words) & (most_repeats(w, n) >= repeats)
+    @F.pandas_udf("degenerate boolean, repetition boolean")
+    def of(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_repetition(t, words, n, repeats) for t in s], columns=["degenerate", "repetition"])
 
-
-def repetition_flag(x: Column, n: int = 3) -> Column:
-    """Long, and either degenerate or with a quarter of its n-grams repeated; the share ignores case."""
-    return (word_count(x) >= 32) & (degenerate(x, n=n) | (repetition_rate(split(F.lower(x)), n) >= 0.25))
+    return of(x)
 
 
 def mojibake_by_pattern(x: Column) -> Column:
@@ -171,6 +175,12 @@ def rouge_n(hyp: Column, ref: Column, n: int) -> Column:
     return overlap_scores(shared_ngrams(hyp, ref, n), size(hyp), size(ref))
 
 
+def rouge_f(hyp: Column, ref: Column, n: int) -> Column:
+    """The F1 of ROUGE-N alone: twice what is shared over both sizes, 0 where a side has no n-gram."""
+    size = F.size(hyp) + F.size(ref) - 2 * (n - 1)
+    return F.when((F.size(hyp) >= n) & (F.size(ref) >= n), 2 * shared_ngrams(hyp, ref, n).cast("double") / size).otherwise(0.0)
+
+
 def rouge_l(hyp: Column, ref: Column) -> Column:
     return overlap_scores(lcs(hyp, ref), F.size(hyp), F.size(ref))
 
@@ -192,10 +202,13 @@ def bleu(hyp: Column, ref: Column, most: int = 4) -> Column:
     return F.struct(*fields)
 
 
-def semantic(hyp: Column, ref: Column) -> Column:
-    """The 17 scores of a text against its reference: ROUGE-1/2/L/Lsum, BLEU-1..4, length ratio."""
-    h, r = tokens(hyp), tokens(ref)
-    parts = {"rouge1": rouge_n(h, r, 1), "rouge2": rouge_n(h, r, 2), "rougeL": rouge_l(h, r), "rougeLsum": rouge_lsum(hyp, ref)}
+def semantic(hyp: Column, ref: Column, h: Column, r: Column, words_lcs: Column, sentences_lcs: Column) -> Column:
+    """The 17 scores of a text against its reference: ROUGE-1/2/L/Lsum, BLEU-1..4, length ratio.
+
+    h and r are the texts' tokens; the two LCS lengths, of tokens and of sentences, are columns made before, as Arrow
+    UDFs can't stand inside lambdas.
+    """
+    parts = {"rouge1": rouge_n(h, r, 1), "rouge2": rouge_n(h, r, 2), "rougeL": overlap_scores(words_lcs, F.size(h), F.size(r)), "rougeLsum": overlap_scores(sentences_lcs, F.size(sentences(hyp)), F.size(sentences(ref)))}
     scores = [F.round(s[k], 4).alias(f"{name}_{k}") for name, s in parts.items() for k in "prf"]
     b = bleu(h, r)
     return F.struct(*scores, *[b[f"bleu{n}"].alias(f"bleu{n}") for n in range(1, 5)], F.round(F.coalesce(F.try_divide(F.size(h).cast("double"), F.size(r)), F.lit(0.0)), 4).alias("length_ratio"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -45,10 +46,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cluster delete the shuffle files of lineages that `cut` has ended; else they stay until the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 2, pause: float = 1.0) -> None:
+    """Let the cluster delete the shuffle files of lineages that `cut` has ended; else they stay until the driver's next full collection.
+
+    The first round drops the plans, the second what only they held; the cleaner works beside, hence the pauses.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 _SHIPPED: set[str] = set()
