@@ -46,12 +46,22 @@ def ill_formed(word: str) -> bool:
     core = word.strip(EDGE)
     if core.isascii():
         return False
-    return any(not p.isascii() and not syllable(p) and not syllable(plain(p)) for p in _GAPS.split(core))
+    return "Ã\xa0" in word or any(not p.isascii() and not (_cased(p) and (syllable(p) or syllable(plain(p)))) for p in _GAPS.split(core))
+
+
+def _cased(part: str) -> bool:
+    """Lower, upper or title case: a capital inside a word is a sign of a wrong reading."""
+    return part.islower() or part.isupper() or part[1:].islower() or not part[1:]
+
+
+def _wide(c: str) -> str:
+    """The plain form of a full-width or styled letter; not of superscripts and fractions, which garbled runs hold."""
+    return unicodedata.normalize("NFKC", c) if "！" <= c <= "～" or "\U0001d400" <= c <= "\U0001d7ff" else c
 
 
 def plain(part: str) -> str:
     """The part without invisible signs, look-alike letters and separate accents, which are no wrong decoding."""
-    letters = unicodedata.normalize("NFD", "".join(LOOKS.get(c, c) for c in unicodedata.normalize("NFKC", part) if unicodedata.category(c) != "Cf"))
+    letters = unicodedata.normalize("NFD", "".join(LOOKS.get(c, c) for c in map(_wide, part) if unicodedata.category(c) != "Cf"))
     runs = re.findall(r"[^\u0300-\u036f][\u0300-\u036f]*|[\u0300-\u036f]+", letters)
     return unicodedata.normalize("NFC", "".join(r[0] + "".join(sorted(r[1:], key=lambda c: c in TONES)) for r in runs))
 
