@@ -36,7 +36,7 @@ EDGE = "\"'«»“”‘’„‚…–—‹›·•!#$%&()*+,-./:;<=>?@[]^_`{|
 _ASCII_GAPS = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _GAPS = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f\xa0\u2000-\u200a\u202f\u3000]+")
 _SENTENCE = re.compile(r"[.;:\n]+")
-_KEY = re.compile(r"[^b-df-hj-np-tv-xz0-9]+")
+_DROPPED = bytes(sorted(set(range(128)) - set(b"bcdfghjklmnpqrstvwxz0123456789")))
 LEAST_KEY = 12
 
 
@@ -116,9 +116,9 @@ def undo(text: str, chain: tuple[str, ...]) -> str | None:
     return text
 
 
-def key(sentence: str) -> str:
+def key(sentence: str) -> bytes:
     """ASCII consonants and digits; accents, vowels and whatever a wrong reading makes of them are stripped."""
-    return _KEY.sub("", sentence.lower())
+    return sentence.lower().encode("ascii", "ignore").translate(None, _DROPPED)
 
 
 def align(garbled: str, clean: str) -> Iterator[tuple[str, str]]:
@@ -200,49 +200,39 @@ def lost(word: str) -> bool:
     return LOST in word and any(c.isalpha() for c in word)
 
 
-def fields(df: DataFrame, row: str, names: list[str]) -> DataFrame:
-    """(row, field, text) of the non-null fields."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names])
-    return df.select(row, F.explode(pairs).alias("f")).select(row, "f.field", "f.text").where(F.col("text").isNotNull())
+def scanned(df: DataFrame, row: str, names: list[str]) -> DataFrame:
+    """One pass over all texts, without a shuffle: (k, garbled, sentence) and (row, field, text) rows.
 
-
-def suspicious(df: DataFrame, row: str, names: list[str]) -> DataFrame:
-    """The (row, field, text) with at least one ill-formed word; one pass, no shuffle."""
+    The former are the distinct sentences of each partition with enough consonants, by a hash of their key; the latter
+    the fields with at least one ill-formed word, in which `sentence` is null.
+    """
     kind = df.schema[row].dataType.simpleString()
+    columns = ["k", "garbled", "sentence", row, "field", "text"]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
         for f in frames:
-            out = [(r, n, t) for n in names for r, t in zip(f[row], f[n], strict=True) if t and not t.isascii() and suspects(t)]
-            yield pd.DataFrame(out, columns=[row, "field", "text"])
-
-    return df.select(row, *names).mapInPandas(of, f"`{row}` {kind}, field string, text string")
-
-
-def sentences(df: DataFrame, names: list[str]) -> DataFrame:
-    """(k, garbled, sentence): the distinct sentences of each partition with enough consonants, by their key."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for f in frames:
-            out = []
+            out: list[tuple] = []
             for n in names:
-                for t in f[n]:
-                    if not t:
+                for r, t in zip(f[row], f[n], strict=True):
+                    if not t or t.isascii():
                         continue
+                    bad = set(suspects(t))
+                    if bad:
+                        out.append((None, None, None, r, n, t))
+                    if len(seen) > 500_000:
+                        seen.clear()
                     for s in _SENTENCE.split(t):
-                        h = hash(s)
-                        if h in seen or s.isascii():
+                        if s in seen or s.isascii():
                             continue
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(h)
+                        seen.add(s)
                         k = key(s)
                         if len(k) >= LEAST_KEY:
-                            out.append((k, bool(suspects(s)), s.strip(" ")))
-            yield pd.DataFrame(out, columns=["k", "garbled", "sentence"])
+                            out.append((k, bool(bad) and bool(suspects(s)), s.strip(" "), None, None, None))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
-    made = df.select(*names).mapInPandas(of, "k string, garbled boolean, sentence string")
-    return made.select(F.xxhash64("k").alias("k"), "garbled", "sentence")
+    made = df.select(row, *names).mapInPandas(of, f"k binary, garbled boolean, sentence string, `{row}` {kind}, field string, text string")
+    return made.withColumn("k", F.xxhash64("k"))
 
 
 def votes(pairs: DataFrame) -> DataFrame:
@@ -301,13 +291,12 @@ def ill_words(found: DataFrame) -> DataFrame:
     return found.select("sentence").mapInPandas(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(df: DataFrame, names: list[str]) -> Mapping:
+def learn(found: DataFrame) -> Mapping:
     """Join garbled sentences with clean twins, align them, and keep the best supported mappings.
 
     Of each key one clean twin is enough. The votes come to the driver, at most MOST_UNITS rows, the strongest first:
     the size of the learned model, not of the data.
     """
-    found = cut(sentences(df, names))
     clean = found.where("not garbled").groupBy("k").agg(F.min("sentence").alias("sentence"))
     garbled = found.where("garbled").select("k", F.col("sentence").alias("garbled_sentence")).distinct()
     pairs = garbled.join(clean, "k")
@@ -349,8 +338,8 @@ def restore(df: DataFrame, row: str = "row_id", names: tuple[str, ...] = ("docum
     left. Null, empty and clean fields give no row; repeated rows give one each; old flags are not read; without any
     clean twin only lost characters are found; an empty table gives no row.
     """
-    names = list(names)
-    m = learn(df, names)
+    found = cut(scanned(df, row, list(names)))
+    m = learn(found.where(F.col("sentence").isNotNull()).select("k", "garbled", "sentence"))
     shared = df.sparkSession.sparkContext.broadcast((m.chains, m.units))
     kind = df.schema[row].dataType.simpleString()
 
@@ -358,13 +347,11 @@ def restore(df: DataFrame, row: str = "row_id", names: tuple[str, ...] = ("docum
         m = Mapping(*shared.value)
         for f in frames:
             out = []
-            for n in names:
-                for r, t in zip(f[row], f[n], strict=True):
-                    if not t or t.isascii():
-                        continue
-                    fixed, gone, text = repair(t, m)
-                    if fixed or gone:
-                        out.append((r, n, text, fixed, gone, not gone and not suspects(text)))
+            for r, n, t in zip(f[row], f["field"], f["text"], strict=True):
+                fixed, gone, text = repair(t, m)
+                if fixed or gone:
+                    out.append((r, n, text, fixed, gone, not gone and not suspects(text)))
             yield pd.DataFrame(out, columns=[row, "field", "restored", "n_garbled", "n_lost", "complete"])
 
-    return df.select(row, *names).mapInPandas(of, f"`{row}` {kind}, field string, restored string, n_garbled int, n_lost int, complete boolean")
+    texts = found.where(F.col("sentence").isNull()).select(row, "field", "text")
+    return texts.mapInPandas(of, f"`{row}` {kind}, field string, restored string, n_garbled int, n_lost int, complete boolean")
