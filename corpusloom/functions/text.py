@@ -90,7 +90,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def distinct_n(words: Column, n: int) -> Column:
-    """Share of different n-grams; 0 without any."""
+    """Share of different n-grams of a word array; 0 without any. For several n of long texts use ngram_profile."""
     g = ngrams(words, n)
     return F.coalesce(F.try_divide(F.size(F.array_distinct(g)).cast("double"), F.size(g)), F.lit(0.0))
 
@@ -163,22 +163,45 @@ def overlap_scores(shared: Column, hyp: Column, ref: Column) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
 
 
-def shared_ngrams(hyp: Column, ref: Column, n: int) -> Column:
-    """Multiset intersection of two texts' n-grams: the least of both counts, summed over the different ones."""
-    h, r = ngrams(hyp, n), ngrams(ref, n)
-    times = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-    return F.aggregate(F.array_intersect(h, r), F.lit(0), lambda s, g: s + F.least(times(h, g), times(r, g)))
+@F.pandas_udf(T.StructType([T.StructField(f"n{n}", T.IntegerType()) for n in range(1, 5)]))
+def shared_ngrams(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Multiset intersections of two word arrays' n-grams for n = 1..4: the least of both counts, summed.
+
+    An Arrow UDF with hash tables: lambdas would compare every n-gram with every other.
+    """
+    out = []
+    for h, r in zip(hyp, ref, strict=True):
+        h, r = list(h) if h is not None else [], list(r) if r is not None else []
+        out.append([sum((_counted(h, n) & _counted(r, n)).values()) for n in range(1, 5)])
+    return pd.DataFrame(out, columns=["n1", "n2", "n3", "n4"], dtype="int32")
+
+
+def _counted(words: list[str], n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n)), strict=False))
+
+
+@F.pandas_udf(T.StructType([T.StructField("words", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("distinct_1", "distinct_2", "repetition_3", "repetition_4")]]))
+def ngram_profile(words: pd.Series) -> pd.DataFrame:
+    """Number of words, shares of different 1- and 2-grams, and of repeated 3- and 4-grams of word arrays; 0 without any."""
+    out = []
+    for w in words:
+        w = list(w) if w is not None else []
+        share = [len(_counted(w, n)) / (len(w) - n + 1) if len(w) >= n else None for n in range(1, 5)]
+        out.append((len(w), share[0] or 0.0, share[1] or 0.0, 0.0 if share[2] is None else 1 - share[2], 0.0 if share[3] is None else 1 - share[3]))
+    return pd.DataFrame(out, columns=["words", "distinct_1", "distinct_2", "repetition_3", "repetition_4"]).astype({"words": "int32"})
 
 
-def rouge_n(hyp: Column, ref: Column, n: int) -> Column:
+def rouge_n(hyp: Column, ref: Column, n: int, shared: Column | None = None) -> Column:
+    """(p, r, f); `shared` is the column of shared_ngrams, if made before."""
     size = lambda w: F.greatest(F.size(w) - (n - 1), F.lit(0))
-    return overlap_scores(shared_ngrams(hyp, ref, n), size(hyp), size(ref))
+    return overlap_scores((shared_ngrams(hyp, ref) if shared is None else shared)[f"n{n}"], size(hyp), size(ref))
 
 
-def rouge_f(hyp: Column, ref: Column, n: int) -> Column:
+def rouge_f(hyp: Column, ref: Column, n: int, shared: Column | None = None) -> Column:
     """The F1 of ROUGE-N alone: twice what is shared over both sizes, 0 where a side has no n-gram."""
     size = F.size(hyp) + F.size(ref) - 2 * (n - 1)
-    return F.when((F.size(hyp) >= n) & (F.size(ref) >= n), 2 * shared_ngrams(hyp, ref, n).cast("double") / size).otherwise(0.0)
+    both = (shared_ngrams(hyp, ref) if shared is None else shared)[f"n{n}"].cast("double")
+    return F.when((F.size(hyp) >= n) & (F.size(ref) >= n), 2 * both / size).otherwise(0.0)
 
 
 def rouge_l(hyp: Column, ref: Column) -> Column:
@@ -190,11 +213,12 @@ def rouge_lsum(hyp: Column, ref: Column) -> Column:
     return rouge_l(sentences(hyp), sentences(ref))
 
 
-def bleu(hyp: Column, ref: Column, most: int = 4) -> Column:
+def bleu(hyp: Column, ref: Column, most: int = 4, shared: Column | None = None) -> Column:
     """bleu1..: geometric means of n-gram precisions, never below 1e-9, times the brevity penalty; 0 if a side is empty."""
     h, r = F.size(hyp), F.size(ref)
+    shared = shared_ngrams(hyp, ref) if shared is None else shared
     brevity = F.when(h < r, F.exp(1.0 - r / h)).otherwise(1.0)
-    logs = [F.ln(F.greatest(F.coalesce(F.try_divide(shared_ngrams(hyp, ref, n).cast("double"), F.greatest(h - (n - 1), F.lit(0))), F.lit(0.0)), F.lit(1e-9))) for n in range(1, most + 1)]
+    logs = [F.ln(F.greatest(F.coalesce(F.try_divide(shared[f"n{n}"].cast("double"), F.greatest(h - (n - 1), F.lit(0))), F.lit(0.0)), F.lit(1e-9))) for n in range(1, most + 1)]
     total, fields = F.lit(0.0), []
     for n, x in enumerate(logs, 1):
         total = total + x
@@ -208,9 +232,10 @@ def semantic(hyp: Column, ref: Column, h: Column, r: Column, words_lcs: Column,
     h and r are the texts' tokens; the two LCS lengths, of tokens and of sentences, are columns made before, as Arrow
     UDFs can't stand inside lambdas.
     """
-    parts = {"rouge1": rouge_n(h, r, 1), "rouge2": rouge_n(h, r, 2), "rougeL": overlap_scores(words_lcs, F.size(h), F.size(r)), "rougeLsum": overlap_scores(sentences_lcs, F.size(sentences(hyp)), F.size(sentences(ref)))}
+    shared = shared_ngrams(h, r)
+    parts = {"rouge1": rouge_n(h, r, 1, shared), "rouge2": rouge_n(h, r, 2, shared), "rougeL": overlap_scores(words_lcs, F.size(h), F.size(r)), "rougeLsum": overlap_scores(sentences_lcs, F.size(sentences(hyp)), F.size(sentences(ref)))}
     scores = [F.round(s[k], 4).alias(f"{name}_{k}") for name, s in parts.items() for k in "prf"]
-    b = bleu(h, r)
+    b = bleu(h, r, 4, shared)
     return F.struct(*scores, *[b[f"bleu{n}"].alias(f"bleu{n}") for n in range(1, 5)], F.round(F.coalesce(F.try_divide(F.size(h).cast("double"), F.size(r)), F.lit(0.0)), 4).alias("length_ratio"))
 
 

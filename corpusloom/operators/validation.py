@@ -64,8 +64,9 @@ def anomalies(summary: Column, document: Column, reference: Column, least_words:
     """
     s, d, r = (X.split(F.lower(F.coalesce(c, F.lit("")))) for c in (summary, document, reference))
     n, m = F.size(s), F.size(d)
-    loop3 = (n >= 10) & (X.repetition_rate(s, 3) > most_3)
-    loop4 = (n >= 10) & ~loop3 & (X.repetition_rate(s, 4) > most_4)
+    grams = X.ngram_profile(s)
+    loop3 = (n >= 10) & (grams["repetition_3"] > most_3)
+    loop4 = (n >= 10) & ~loop3 & (grams["repetition_4"] > most_4)
     return problems(
         ("empty_summary", blank(summary)),
         ("empty_document", blank(document)),

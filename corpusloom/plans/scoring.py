@@ -33,9 +33,8 @@ _T = f"t AS (SELECT doc_id, {words_sql('text')} AS w, {words_sql('lower(text)')}
 SELECT doc_id, CAST(words AS INT) AS words, round(CASE WHEN len(g1) > 0 THEN len(list_distinct(g1)) / len(g1) ELSE 0 END, 4) AS distinct_1,
 round(CASE WHEN len(g2) > 0 THEN len(list_distinct(g2)) / len(g2) ELSE 0 END, 4) AS distinct_2, round(CASE WHEN len(g3) > 0 THEN 1 - len(list_distinct(g3)) / len(g3) ELSE 0 END, 4) AS repetition_3 FROM g""")
 def distinct_n(spark, base):
-    d = table(spark, base, "documents").withColumn("w", X.split(F.col("text")))
-    w = F.col("w")
-    return d.select("doc_id", F.size(w).alias("words"), F.round(X.distinct_n(w, 1), 4).alias("distinct_1"), F.round(X.distinct_n(w, 2), 4).alias("distinct_2"), F.round(X.repetition_rate(w, 3), 4).alias("repetition_3"))
+    d = table(spark, base, "documents").select("doc_id", X.ngram_profile(X.split(F.col("text"))).alias("g"))
+    return d.select("doc_id", "g.words", *[F.round(F.col(f"g.{c}"), 4).alias(c) for c in ("distinct_1", "distinct_2", "repetition_3")])
 
 
 @query(f"""WITH {_T}, g AS (SELECT doc_id, len(w) AS n, {grams('w', 3)} AS g, {grams('lw', 3)} AS lg FROM t),
@@ -62,7 +61,8 @@ def _rouge_sql(n: int) -> str:
 @query(f"WITH {_PAIRS} SELECT row_id, round({_rouge_sql(1)}, 4) AS rouge1_f, round({_rouge_sql(2)}, 4) AS rouge2_f FROM p")
 def rouge_n_pairs(spark, base):
     h, r = F.col("h"), F.col("r")
-    return _pairs(spark, base).select("row_id", F.round(X.rouge_f(h, r, 1), 4).alias("rouge1_f"), F.round(X.rouge_f(h, r, 2), 4).alias("rouge2_f"))
+    p, s = _pairs(spark, base).withColumn("s", X.shared_ngrams(h, r)), F.col("s")
+    return p.select("row_id", F.round(X.rouge_f(h, r, 1, s), 4).alias("rouge1_f"), F.round(X.rouge_f(h, r, 2, s), 4).alias("rouge2_f"))
 
 
 _BLEU = ", ".join(f"ln(greatest(CASE WHEN len(h) >= {n} THEN {_SHARED.format(h=grams('h', n), r=grams('r', n))} / (len(h) - {n - 1}) ELSE 0 END, 1e-9)) AS p{n}" for n in (1, 2))
@@ -71,17 +71,17 @@ _BLEU = ", ".join(f"ln(greatest(CASE WHEN len(h) >= {n} THEN {_SHARED.format(h=g
 @query(f"""WITH {_PAIRS}, q AS (SELECT row_id, len(h) AS a, len(r) AS b, {_BLEU} FROM p)
 SELECT row_id, CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(p1), 4) ELSE 0 END AS bleu1, CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp((p1 + p2) / 2), 4) ELSE 0 END AS bleu2 FROM q""")
 def bleu_pairs(spark, base):
-    b = X.bleu(F.col("h"), F.col("r"), 2)
-    return _pairs(spark, base).select("row_id", b["bleu1"].alias("bleu1"), b["bleu2"].alias("bleu2"))
+    b = X.bleu(F.col("h"), F.col("r"), 2, F.col("s"))
+    return _pairs(spark, base).withColumn("s", X.shared_ngrams(F.col("h"), F.col("r"))).select("row_id", b["bleu1"].alias("bleu1"), b["bleu2"].alias("bleu2"))
 
 
 @query(f"""WITH {_PAIRS}, x AS (SELECT source, {_rouge_sql(1)} AS f1, {_rouge_sql(2)} AS f2, len(h) AS a, len(r) AS b FROM p WHERE len(h) > 0 AND len(r) > 0)
-SELECT source, count(*) AS n, round(avg(round(f1, 4)), 4) AS rouge1_f, round(avg(round(f2, 4)), 4) AS rouge2_f, round(avg(a / b), 4) AS length_ratio FROM x GROUP BY source""")
+SELECT source, count(*) AS n, round(sum(CAST(round(f1 * 10000) AS BIGINT)) / (10000.0::DOUBLE * count(*)), 6) AS rouge1_f, round(sum(CAST(round(f2 * 10000) AS BIGINT)) / (10000.0::DOUBLE * count(*)), 6) AS rouge2_f, round(avg(a / b), 4) AS length_ratio FROM x GROUP BY source""")
 def rouge_by_source(spark, base):
     h, r = F.col("h"), F.col("r")
-    p = _pairs(spark, base).where((F.size("h") > 0) & (F.size("r") > 0))
+    p, s = _pairs(spark, base).where((F.size("h") > 0) & (F.size("r") > 0)).withColumn("s", X.shared_ngrams(h, r)), F.col("s")
     return p.groupBy("source").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.round(X.rouge_f(h, r, 1), 4)), 4).alias("rouge1_f"), F.round(F.avg(F.round(X.rouge_f(h, r, 2), 4)), 4).alias("rouge2_f"), F.round(F.avg(F.size("h") / F.size("r")), 4).alias("length_ratio")
+        F.count("*").alias("n"), F.round(F.sum(F.round(X.rouge_f(h, r, 1, s) * 10000).cast("long")) / (F.lit(10000.0) * F.count("*")), 6).alias("rouge1_f"), F.round(F.sum(F.round(X.rouge_f(h, r, 2, s) * 10000).cast("long")) / (F.lit(10000.0) * F.count("*")), 6).alias("rouge2_f"), F.round(F.avg(F.size("h") / F.size("r")), 4).alias("length_ratio")
     )
 
 
