@@ -328,6 +328,15 @@ def repair(text: str, m: Mapping) -> tuple[int, int, str]:
         memo = {}
     if not memo:
         return 0, gone, text
+    if any(map(_telling, memo)):
+        # the field is garbled: words that are no syllables come back too, where a chain makes plain letters of them
+        for w in words:
+            if w not in memo and not lost(w):
+                for chain in m.chains:
+                    got = undo(w, chain)
+                    if got and got != w and all(c.isascii() or c in ACCENTED or c in EDGE for c in got):
+                        memo[w] = got
+                        break
     return len(memo), gone, re.sub(r"[^ \n\t]+", lambda x: memo.get(x[0], x[0]), text)
 
 
