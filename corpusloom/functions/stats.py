@@ -34,12 +34,10 @@ def linear(x: Column, p: float) -> Column:
     return F.percentile(number(x), F.lit(p))
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {_sql(x)})")
-
-
-def _sql(x: Column) -> str:
-    return f"`{x._jc.toString()}`" if not isinstance(x, str) else f"`{x}`"
+def nearest_rank(name: str, p: float) -> Column:
+    """The element at ceil(p n) of a column's sorted numbers."""
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan({x}) THEN {x} END)")
 
 
 def summary(name: str, digits: int = 4) -> list[Column]:
@@ -48,7 +46,7 @@ def summary(name: str, digits: int = 4) -> list[Column]:
     return [
         F.round(F.avg(x), digits).alias(f"{name}_mean"),
         F.round(F.percentile(x, F.lit(0.5)), digits).alias(f"{name}_median"),
-        F.round(F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan(CAST(`{name}` AS DOUBLE)) THEN CAST(`{name}` AS DOUBLE) END)"), digits).alias(f"{name}_p90"),
+        F.round(nearest_rank(name, 0.9), digits).alias(f"{name}_p90"),
         F.round(F.stddev_pop(x), digits).alias(f"{name}_std"),
     ]
 

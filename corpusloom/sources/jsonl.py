@@ -134,7 +134,8 @@ def method_and_dataset(name: Column, datasets: list[str]) -> Column:
     """(method, dataset) of a file name `<method>_<dataset>`, the longest dataset that fits; null if none does."""
     chain = F.when(F.lit(False), F.struct(F.lit("").alias("method"), F.lit("").alias("dataset")))
     for d in sorted(datasets, key=lambda d: (-len(d), d)):
-        chain = chain.when(name.endswith(f"_{d}"), F.struct(F.expr("1").cast("string").alias("method"), F.lit(d).alias("dataset")).withField("method", name.substr(F.lit(1), F.length(name) - F.lit(len(d) + 1))))
+        method = F.substr(name, F.lit(1), F.length(name) - F.lit(len(d) + 1))
+        chain = chain.when(F.endswith(name, F.lit(f"_{d}")), F.struct(method.alias("method"), F.lit(d).alias("dataset")))
     return chain
 
 
