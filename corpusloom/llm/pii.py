@@ -30,8 +30,8 @@ class Span(NamedTuple):
 
 #: Cue words by kind. Surnames in SURE_SURNAMES need no cue before them; the others do.
 AT_SIGNS = ["@", "＠", "(at)", "[at]", "{at}", " at ", " a còng ", " a cong ", " a móc ", "(a còng)", "[a còng]"]
-DIAL = ["+84", "+ 84", "0084", "(+84", "(84", "(0", "84", "01", "02", "03", "05", "07", "08", "09", "0 ", "0.", "0-", "o3", "o5", "o7", "o9", "không ", "khong ", "zero ", "oh "]
-ID_CUES = ["cccd", "căn cước", "can cuoc", "cmnd", "cmtnd", "chứng minh nhân dân", "chung minh nhan dan", "chứng minh thư", "định danh cá nhân", "dinh danh ca nhan", "mã định danh", "hộ chiếu", "ho chieu", "passport", "ssn", "social security", " id ", "identity card", "national id", "citizen"]
+DIAL = ["+", "0084", "(+84", "(84", "(0", "84", "01", "02", "03", "05", "07", "08", "09", "0 ", "0.", "0-", "o3", "o5", "o7", "o9", "không ", "khong ", "zero ", "oh "]
+ID_CUES = ["cccd", "căn cước", "can cuoc", "cmnd", "cmtnd", "chứng minh nhân dân", "chung minh nhan dan", "chứng minh thư", "định danh cá nhân", "dinh danh ca nhan", "mã định danh", "hộ chiếu", "ho chieu", "passport", "ssn", "social security", " id ", " id:", " id no", "số id", "identity card", "national id", "citizen"]
 PLACE_CUES = ["tại ", "tai ", "ở ", "đến ", "den ", "về ", "ve ", "địa chỉ", "dia chi", "trú ", "số ", "so ", "sn ", "căn hộ ", "can ho ", ";", "to ", "at ", "is ", "address", "nhà ", '"dia_chi": "', "- ", "ngụ ", "giao "]
 SURE_SURNAMES = "Nguyễn Trần Lê Phạm Hoàng Huỳnh Phan Vũ Võ Đặng Bùi Đỗ Hồ Ngô Dương Lý Đoàn Đào Đinh Trịnh Tống Khổng Mạc Chử Trương Lương Quách".split()
 OTHER_SURNAMES = "Mai Cao Lâm Hà Thái Châu La Văn Vương Tô Tạ Kiều Thạch Triệu Phùng Nghiêm Doãn Ninh Diệp Lưu Hứa An Bạch Chu Đàm Đồng Giang Hạ Khuất Khúc Lại Lục Mã Nông Ôn Quan Sơn Tăng Thân Thi Tiêu Tôn Từ Ung Vi Viên Bế Cù Đậu Đường".split()
@@ -143,6 +143,7 @@ def find_phone(text: str, low: str, start: int) -> Span | None:
     if low[start] in "kzo" and low[start + 1 : start + 2].isalpha():
         return _spelled(text, low, start)
     digits, at, last, gap = "", start, start, 0
+    abroad = text[start] == "+" and not text[start + 1 : start + 4].strip().startswith("84")
     while at < len(text):
         c = text[at]
         if c.isdecimal():
@@ -158,12 +159,12 @@ def find_phone(text: str, low: str, start: int) -> Span | None:
         gap = 0
         at += 1
         last = at
-        full = _full(digits)
+        full = not abroad and _full(digits)
         if full and (at == len(text) or not (text[at].isdecimal() or text[at] in "lIO" and not text[at + 1 : at + 2].isalpha())):
             break
-        if len(digits) > 14:
+        if len(digits) > 15:
             return None
-    if not _full(digits) or (last < len(text) and (text[last].isalnum() or text[last] in "/_@")):
+    if not (9 <= len(digits) <= 15 if abroad else _full(digits)) or (last < len(text) and (text[last].isalnum() or text[last] in "/_@")):
         return None
     if text[last : last + 2].strip() and text[last] in ".-,:" and text[last + 1 : last + 2].isdecimal():
         return None
