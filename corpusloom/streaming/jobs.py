@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,9 +59,12 @@ def reservoir(stream: DataFrame, keys: list[str], identity: str, k: int, out: st
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = bottom_k(batch, keys, identity, seed, k)
-        before = f"{out}/batch={number - 1}"
-        if number and os.path.exists(before):
-            own = bottom_k(spark.read.parquet(before).drop("score").unionByName(own.drop("score")), keys, identity, seed, k)
+        if number:
+            try:
+                kept = spark.read.parquet(f"{out}/batch={number - 1}").drop("score")
+            except AnalysisException:  # nothing was written yet
+                kept = own.drop("score").limit(0)
+            own = bottom_k(kept.unionByName(own.drop("score")), keys, identity, seed, k)
         own.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -72,28 +76,24 @@ def latest(out: str) -> str:
 
 
 def windows(stream: DataFrame, key: str, identity: str, quantum: int) -> DataFrame:
-    """key, number, ids: complete windows of `quantum` ids in order of arrival; an id comes once, a partial tail is held.
+    """key, number, ids: complete windows of `quantum` ids in order of arrival; a partial tail is held.
 
-    State per key: the ids waiting (fewer than `quantum`), what was seen, and the number of the next window.
+    State per key: the ids waiting, fewer than `quantum`, and the number of the next window. Repeats are dropped before,
+    by `deduplicated`, whose state the watermark bounds.
     """
     kind = stream.schema[key].dataType.simpleString()
 
     def of(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, held, seen = state.get if state.exists else (0, [], [])
-        held, known = list(held), set(seen)
+        number, held = state.get if state.exists else (0, [])
+        held = list(held)
         for f in frames:
-            for x in f[identity].tolist():
-                if x not in known:
-                    known.add(x)
-                    held.append(x)
-        made = []
-        while len(held) >= quantum:
-            made.append((k[0], number, held[:quantum]))
-            held, number = held[quantum:], number + 1
-        state.update((number, held, sorted(known)))
+            held += f[identity].tolist()
+        full = len(held) // quantum
+        made = [(k[0], number + i, held[i * quantum : (i + 1) * quantum]) for i in range(full)]
+        state.update((number + full, held[full * quantum :]))
         yield pd.DataFrame(made, columns=[key, "number", "ids"])
 
-    return stream.select(key, identity).groupBy(key).applyInPandasWithState(of, f"`{key}` {kind}, number long, ids array<long>", "number long, held array<long>, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, identity).groupBy(key).applyInPandasWithState(of, f"`{key}` {kind}, number long, ids array<long>", "number long, held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
