@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity by linear grouping (problem 8).
 
-Rows are dealt by a hash of their key to shards of bounded size, which are packed independently (at most one badly
+Rows are dealt by a hash of their key and place to shards of bounded size, which are packed independently (at most one badly
 filled container a shard is lost by that). In a shard, items above `large` of the capacity are sorted and cut into
 groups of equal cardinality; every length is rounded up to the largest of its group, which leaves a few sizes. Column
 generation finds the configurations of these sizes with the best fractional solution; its whole part is taken, actual
@@ -174,7 +174,7 @@ def fill(lengths: DataFrame, windows: list[tuple[int, int]], key: str = "doc_id"
         return pd.concat(made) if made else pd.DataFrame()
 
     schema = f"window_id int, capacity_tokens int, `{key}` {kind}, piece int, start_token long, n_tokens int, container_id long"
-    dealt = lengths.select(key, size, F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards)).alias("shard"))
+    dealt = lengths.select(key, size, F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(of, schema)
 
 
