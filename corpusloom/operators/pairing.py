@@ -13,6 +13,7 @@ from corpusloom.functions.stats import finite_positive, ratio, ratio_of_sums
 #: Fixed: what identifies a run, in the order in which a difference is named.
 REQUIRED = ["dataset", "prompt_token_sha256", "generation_config_sha256", "target_revision", "tokenizer_revision", "hardware_fingerprint", "gpu_count", "tp_size", "batch_size", "concurrency", "cache_policy"]
 CONFIG = ["pairing_config_sha256", "generation_config_sha256", "target_checkpoint_sha256", "target_revision", "tokenizer_revision"]
+MOST_METHODS, MOST_CELLS = 1000, 100_000
 RESOURCES = ["hardware_fingerprint", "gpu_count", "tp_size", "batch_size", "concurrency", "cache_policy"]
 
 
@@ -53,12 +54,16 @@ def paired(reference: DataFrame, methods: DataFrame, keys: list[str], method: st
     """One row per method and key: ref, met (structs), reason (null for a pair), lost (rows it stands for).
 
     Keys that occur twice on either side are left out and counted by rows; then one-sided keys, rows that failed, and
-    what `issue` names. The reference is repeated for each method by a join on the list of methods, one row each.
+    what `issue` names. The reference is repeated for each method; the list of methods is read first, and refused if it
+    is longer than MOST_METHODS.
     """
-    names = methods.select(method).distinct()
+    names = [r[0] for r in methods.select(method).where(F.col(method).isNotNull()).distinct().limit(MOST_METHODS + 1).collect()]
+    if len(names) > MOST_METHODS:
+        raise ValueError(f"more than {MOST_METHODS} methods")
     ref = counted(reference.drop(method), keys).select(*keys, F.col("n").alias("n_ref"), F.col("row").alias("ref"))
     met = counted(methods, [method, *keys]).select(method, *keys, F.col("n").alias("n_met"), F.col("row").alias("met"))
-    every = ref.withColumn("_all", F.lit(1)).join(F.broadcast(names.withColumn("_all", F.lit(1))), "_all").drop("_all")
+    kind = methods.schema[method].dataType
+    every = ref.withColumn(method, F.explode(F.array(*[F.lit(n).cast(kind) for n in sorted(names)]).cast(f"array<{kind.simpleString()}>")))
     joined = every.join(met, [method, *keys], "full_outer")
     twice = (F.coalesce("n_ref", F.lit(0)) > 1) | (F.coalesce("n_met", F.lit(0)) > 1)
     failed = (F.coalesce(F.col("ref.status"), F.lit("success")) != "success") | (F.coalesce(F.col("met.status"), F.lit("success")) != "success")
@@ -188,9 +193,16 @@ def filled(expected: DataFrame, rows: DataFrame, keys: list[str], order: list[Co
 
 
 def grid(*dimensions: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables, by joins on a constant; the result is the size of the design, not of the data."""
+    """All combinations of small dimension tables: the size of the design, not of the data.
+
+    Each dimension after the first is read first, refused above MOST_CELLS rows, and exploded.
+    """
     out, *rest = dimensions
-    out = out.withColumn("_one", F.lit(1))
     for d in rest:
-        out = out.join(F.broadcast(d.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+        rows = d.limit(MOST_CELLS + 1).collect()
+        if len(rows) > MOST_CELLS:
+            raise ValueError(f"a dimension of more than {MOST_CELLS} rows")
+        cells = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in d.schema.fields]) for r in rows]
+        kind = d.schema.simpleString()
+        out = out.withColumn("_cell", F.explode(F.array(*cells).cast(f"array<{kind}>"))).select(*out.columns, "_cell.*")
+    return out
