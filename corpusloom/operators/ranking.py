@@ -11,20 +11,23 @@ from corpusloom.session import cut
 def numbered(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
     """`df` with its 1-based rank in the group `keys` by `order`, and the group's size.
 
-    `order` must be total. Rows are range-partitioned by group and order and numbered within partitions; the counts per
-    partition and group, a few rows a partition, give the offsets. A group of any size is spread over many tasks.
-    The sorted rows are cut off from their lineage, so that both passes see the same partitions.
+    `order` must be total. Rows are range-partitioned by group and order and cut off from their lineage sorted, so a
+    row's place in its partition is known without another shuffle; counts and first places per partition and group, a
+    few rows a partition, give the offsets. A group of any size is spread over many tasks.
     """
     by = [*[F.col(k) for k in keys], *order]
-    ordered = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
-    local = ordered.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
-    counts = ordered.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    ordered = cut(df.repartitionByRange(*by).sortWithinPartitions(*by))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+    local = ordered.select("*", F.spark_partition_id().alias("_part"), place.alias("_at"))
+    counts = local.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", *keys, before.alias("_before"), F.sum("_n").over(w).alias(total))
-    same = [local["_part"] == offsets["_part"], *[local[k].eqNullSafe(offsets[k]) for k in keys]]
-    joined = local.join(offsets, same, "left")
-    return joined.select(*[local[c] for c in df.columns], (F.col("_local") + F.col("_before")).alias(rank), F.col(total))
+    names = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    offsets = counts.select(F.col("_part").alias("_of"), *names, "_first", before.alias("_before"), F.sum("_n").over(w).alias(total))
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return local.join(offsets, same).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(rank), total)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
