@@ -4,8 +4,8 @@ Sentences with ill-formed words are joined with clean sentences on what neither
 touches: their ASCII consonants and digits, everything non-ASCII stripped. Words of such twins are aligned character
 by character; each alignment of one clean letter votes for a unit (garbled run -> letter), and for every chain of
 codecs that would turn the letter into that run. A chain is also confirmed by making well-formed syllables of many of
-the corpus' most frequent ill-formed words (readings that swallow ASCII letters leave no twin sentence). Chains and
-units with enough votes are the learned mappings. They are applied to every record with ill-formed words: a word is
+the corpus' most frequent ill-formed words (readings that swallow ASCII letters leave no twin sentence). Tables of font
+encodings are confirmed in the same way. Chains and units with enough votes are the learned mappings. They are applied to every record with ill-formed words: a word is
 garbled if a mapping makes a well-formed syllable of it.
 """
 
@@ -31,6 +31,8 @@ CHAINS += [(a, b) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1")]
 CHAIN_LETTERS, UNIT_VOTES, MOST_UNITS = 3, 2, 20_000
 #: Or it needs so many different words of the most frequent ill-formed ones.
 CHAIN_WORDS, MOST_WORDS = 6, 20_000
+#: As many, with signs of their own, confirm a font's table.
+TABLE_WORDS = 4
 LOST = "�"
 EDGE = "\"'«»“”‘’„‚…–—‹›·•!#$%&()*+,-./:;<=>?@[]^_`{|}~ \t\r\n"
 _ASCII_GAPS = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -156,11 +158,16 @@ class Mapping:
             self.seen[word] = self._word(word)
         return self.seen[word]
 
-    def _word(self, word: str) -> str | None:
+    def by_chain(self, word: str) -> str | None:
         for chain in self.chains:
             got = undo(word, chain)
             if got and got != word and _clean(got):
                 return got
+        return None
+
+    def _word(self, word: str) -> str | None:
+        if (got := self.by_chain(word)) is not None:
+            return got
         core = word.strip("\"'!()*,-./:;<>?[]{}")
         if not core or len(core) > 24:
             return None
@@ -272,6 +279,12 @@ def mapping(rows: list[tuple[str, str, int]], words: list[str]) -> Mapping:
         if len(clean) == 1 and clean in ACCENTED and n >= UNIT_VOTES and len(run) <= 8 and LOST not in run and _wrong(run, clean):
             units.setdefault(run, Counter())[clean] += n
     kept = {r: [c for c, n in cs.most_common(4) if n * 8 >= max(cs.values())] for r, cs in units.items()}
+    for table in TABLES:
+        alone = Mapping([], {k: [v] for k, v in table.items()})
+        if len({got for w in words if _telling(w) and (got := alone.word(w))}) >= TABLE_WORDS:
+            for run, letter in table.items():
+                kept.setdefault(run, [])
+                kept[run] += [letter] * (letter not in kept[run])
     return Mapping(chains, kept)
 
 
@@ -305,6 +318,31 @@ def learn(found: DataFrame) -> Mapping:
     return mapping([(r.run, r.letters, r.n) for r in rows], [r.word for r in words])
 
 
+def _tcvn3() -> dict[str, str]:
+    """The letters of a single-byte font encoding of Vietnamese, as its bytes look in Latin-1."""
+    rows = "aµ¶·¸¹ ă»¼½¾Æ âÇÈÉÊË eÌÎÏÐÑ êÒÓÔÕÖ i×ØÜÝÞ oßáâãä ôåæçèé ơêëìíî uïñòóô ưõö÷øù yúûüýþ"
+    table = dict(zip("¨©ª«¬\xad®¡¢£¤¥¦§", "ăâêôơưđĂÂÊÔƠƯĐ", strict=True))
+    for row in rows.split():
+        for sign, tone in zip(row[1:], "̣̀̉̃́", strict=True):
+            table[sign] = unicodedata.normalize("NFC", row[0] + tone)
+    return table
+
+
+def _vni() -> dict[str, str]:
+    """A font encoding that writes a vowel and a sign for its accents, by rule."""
+    tones = "̣̀̉̃́"
+    signs = {"plain": "øûõùï", "^": "àåãáä", "(": "èúüéë"}
+    table = {"ñ": "đ", "ô": "ơ", "ö": "ư", "ì": "ì", "æ": "ỉ", "ó": "ĩ", "í": "í", "ò": "ị", "î": "ỵ"}
+    for base, letter, kind in [("a", "a", "plain"), ("e", "e", "plain"), ("o", "o", "plain"), ("u", "u", "plain"), ("y", "y", "plain"), ("ô", "ơ", "plain"), ("ö", "ư", "plain"), ("a", "â", "^"), ("e", "ê", "^"), ("o", "ô", "^"), ("a", "ă", "(")]:
+        table |= {base + sign: unicodedata.normalize("NFC", letter + tone) for sign, tone in zip(signs[kind], tones, strict=True)}
+    table |= {"aâ": "â", "eâ": "ê", "oâ": "ô", "aê": "ă"}
+    return table | {k.upper(): v.upper() for k, v in table.items()} | {k[0].upper() + k[1:]: v.upper() for k, v in table.items()}
+
+
+#: Tables of font encodings, hypotheses like the chains: units of those that enough words confirm join the learned ones.
+TABLES = (_tcvn3(), _vni())
+
+
 def _telling(word: str) -> bool:
     """Whether a word has a character that is neither ASCII nor a letter of the orthography."""
     return any(c > "\x7f" and c not in ACCENTED for c in word.strip(EDGE))
@@ -313,8 +351,9 @@ def _telling(word: str) -> bool:
 def repair(text: str, m: Mapping) -> tuple[int, int, str]:
     """Number of garbled words restored, of words that are lost, and the text with the former restored.
 
-    Words made of the orthography's own letters alone may be foreign ones that a mapping happens to fit: without any
-    more telling word they count only if they are two or more and at least half of the ill-formed ones.
+    Foreign words may happen to fit a unit: without any word that a chain restores they count only if they are at least
+    half of the ill-formed ones, if with the well-formed accented words they are three tenths of all, as in Vietnamese,
+    and if they are two or more where they are made of the orthography's own letters alone.
     """
     gone = 0
     memo: dict[str, str] = {}
@@ -324,8 +363,11 @@ def repair(text: str, m: Mapping) -> tuple[int, int, str]:
             gone += 1
         elif (got := m.word(w)) is not None:
             memo[w] = got
-    if not gone and not any(map(_telling, memo)) and (len(memo) < 2 or 2 * len(memo) < len(words)):
-        memo = {}
+    if memo and not gone and not any(map(m.by_chain, memo)):
+        every = [w for w in set(text.replace("\n", " ").split(" ")) if any(map(str.isalpha, w))]
+        accented = sum(not w.isascii() for w in every) - len(words) + len(memo)
+        if 2 * len(memo) < len(words) or 10 * accented < 3 * len(every) or not any(map(_telling, memo)) and len(memo) < 2:
+            memo = {}
     if not memo:
         return 0, gone, text
     if any(map(_telling, memo)):
