@@ -28,6 +28,8 @@ SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, 0xFEFF, 0xFFA0]
 STYLED = [*range(0x2102, 0x2135), *range(0x2160, 0x2180), *range(0x1D400, 0x1D800)]
 LEARNED_WORDS, LEARNED_SHARE = 3, 0.8
+#: Votes that a partition holds before it hands them on.
+HELD_VOTES = 200_000
 
 
 class Classes:
@@ -109,14 +111,16 @@ def _mixes(word: str) -> str | None:
 
 
 def stats(df: DataFrame, names: list[str]) -> DataFrame:
-    """(kind, what, n): code point counts, and for unknown letters in Latin words which letter makes a syllable of them.
+    """(kind, what, letter, n): code point counts, and in how many distinct words an unknown letter stands for a letter.
 
-    Counted per partition first; the result has at most one row per code point and letter.
+    Letter "" counts all distinct words with the unknown letter. Words are made distinct per partition first, then over
+    the corpus; the result has at most one row per code point and letter.
     """
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["kind", "what", "letter", "word", "n"]
         points = np.zeros(0x110000, np.int64)
-        votes: dict[tuple[str, str], set[str]] = {}
+        votes: set[tuple[str, str, str]] = set()
         for f in frames:
             for n in names:
                 text = "".join(t for t in f[n] if t)
@@ -129,20 +133,22 @@ def stats(df: DataFrame, names: list[str]) -> DataFrame:
                     for w in UNKNOWN_WORD.findall(t):
                         odd = _mixes(w)
                         if odd and odd not in LOOKS:
+                            votes.add((odd, "", w.lower()))
                             for letter in "abcdđeghiklmnopqrstuvxy":
                                 fixed = unicodedata.normalize("NFC", w.replace(odd, letter))
                                 if syllable(fixed):
-                                    seen = votes.setdefault((odd, letter), set())
-                                    if len(seen) < 1000:
-                                        seen.add(fixed.lower())
-                            votes.setdefault((odd, ""), set()).add(w.lower()[:32])
+                                    votes.add((odd, letter, fixed.lower()))
+            if len(votes) > HELD_VOTES:  # those that come again are made one by the shuffle
+                yield pd.DataFrame([("vote", *v, 0) for v in votes], columns=columns)
+                votes.clear()
         used = np.flatnonzero(points)
-        out = [("count", chr(cp), "", int(points[cp])) for cp in used if not 0xD800 <= cp < 0xE000]
-        out += [("vote", a, b, len(ws)) for (a, b), ws in votes.items()]
-        yield pd.DataFrame(out, columns=["kind", "what", "letter", "n"])
+        out = [("count", chr(cp), "", "", int(points[cp])) for cp in used if not 0xD800 <= cp < 0xE000]
+        out += [("vote", *v, 0) for v in votes]
+        yield pd.DataFrame(out, columns=columns)
 
-    made = df.select(*names).mapInPandas(of, "kind string, what string, letter string, n long")
-    return made.groupBy("kind", "what", "letter").agg(F.sum("n").alias("n"))
+    made = df.select(*names).mapInPandas(of, "kind string, what string, letter string, word string, n long")
+    distinct = made.groupBy("kind", "what", "letter", "word").agg(F.sum("n").alias("n"))
+    return distinct.groupBy("kind", "what", "letter").agg(F.sum(F.when(F.col("kind") == "vote", 1).otherwise(F.col("n"))).alias("n"))
 
 
 #: Anything beyond the Latin blocks and general signs.
