@@ -3,8 +3,8 @@
 Sentences with ill-formed words are joined with clean sentences on what neither a wrong decoding nor a font encoding
 touches: their ASCII consonants and digits, everything non-ASCII stripped. Words of such twins are aligned character
 by character; each alignment of one clean letter votes for a unit (garbled run -> letter), and for every chain of
-codecs that would turn the letter into that run. A chain is also confirmed by making well-formed syllables of many of
-the corpus' most frequent ill-formed words (readings that swallow ASCII letters leave no twin sentence). Tables of font
+codecs that would turn the letter into that run. A chain is also confirmed by making well-formed syllables of several
+of the corpus' ill-formed words (readings that swallow ASCII letters leave no twin sentence). Tables of font
 encodings are confirmed in the same way. Chains and units with enough votes are the learned mappings. They are applied to every record with ill-formed words: a word is
 garbled if a mapping makes a well-formed syllable of it.
 """
@@ -28,9 +28,9 @@ from corpusloom.session import cut
 CHAINS = [(c,) for c in ("cp1252", "latin-1", "cp437", "cp850", "cp1251", "gb18030", "mac_roman", "cp1258", "cp1250", "iso8859-2", "cp1254", "iso8859-15", "big5", "shift_jis", "cp866", "koi8-r", "cp1253", "cp874", "mac_cyrillic", "cp1255", "cp1256", "cp949", "cp852")]
 CHAINS += [(a, b) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1")]
 #: A chain needs alignments of so many different letters, a unit so many alignments.
-CHAIN_LETTERS, UNIT_VOTES, MOST_UNITS = 3, 2, 20_000
-#: Or it needs so many different words of the most frequent ill-formed ones.
-CHAIN_WORDS, MOST_WORDS = 6, 20_000
+CHAIN_LETTERS, UNIT_VOTES = 3, 2
+#: Or it needs to make so many different words of ill-formed ones.
+CHAIN_WORDS = 6
 #: As many, with signs of their own, confirm a font's table.
 TABLE_WORDS = 4
 LOST = "�"
@@ -265,57 +265,86 @@ def _wrong(run: str, letter: str) -> bool:
     return flat(run) != flat(letter)
 
 
-def mapping(rows: list[tuple[str, str, int]], words: list[str]) -> Mapping:
-    """Chains and units from the twins' votes, and chains from frequent ill-formed words."""
-    letters: dict[tuple[str, ...], set[str]] = {c: set() for c in CHAINS}
-    for run, clean, _ in rows:
-        for chain in CHAINS:
-            if undo(run, chain) == clean:
-                letters[chain].add(clean)
-    chains = sorted((c for c in CHAINS if len(letters[c]) >= CHAIN_LETTERS), key=lambda c: -len(letters[c]))
-    chains += [c for c in CHAINS if c not in chains and len({got for w in words if (got := undo(w, c)) and got != w and _clean(got)}) >= CHAIN_WORDS]
+def vote_evidence(voted: DataFrame) -> DataFrame:
+    """(kind, key, letters, n) of all votes: the units with their votes, and of how many different letters each chain has votes.
+
+    Chains are tried on the workers; the driver gets one row a chain, and the units, which are the learned model.
+    """
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for run, clean, n in zip(f["run"], f["letters"], f["n"], strict=True):
+                out += [("chain", str(i), clean, 1) for i, chain in enumerate(CHAINS) if undo(run, chain) == clean]
+                if len(clean) == 1 and clean in ACCENTED and n >= UNIT_VOTES and len(run) <= 8 and LOST not in run and _wrong(run, clean):
+                    out.append(("unit", run, clean, n))
+            yield pd.DataFrame(out, columns=["kind", "key", "letters", "n"])
+
+    made = voted.mapInPandas(of, "kind string, key string, letters string, n long").groupBy("kind", "key", "letters").agg(F.max("n").alias("n"))
+    unit = F.col("kind") == "unit"
+    return made.groupBy("kind", "key", F.when(unit, F.col("letters")).alias("letters")).agg(F.sum(F.when(unit, F.col("n")).otherwise(1)).alias("n"))
+
+
+def word_evidence(words: DataFrame) -> DataFrame:
+    """(kind, key, n) of all ill-formed words: how many different well-formed ones each chain and each font's table makes of them."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [Mapping([], {k: [v] for k, v in t.items()}) for t in TABLES]
+        for f in frames:
+            out: set[tuple[str, int, str]] = set()
+            for w in f["word"]:
+                out.update(("chain", i, got) for i, c in enumerate(CHAINS) if (got := undo(w, c)) and got != w and _clean(got))
+                if _telling(w):
+                    out.update(("table", i, got) for i, t in enumerate(tables) if (got := t.word(w)))
+            yield pd.DataFrame(list(out), columns=["kind", "key", "got"])
+
+    made = words.select("word").mapInPandas(of, "kind string, key int, got string")
+    return made.distinct().groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+
+def mapping(letters: dict[int, int], rows: list[tuple[str, str, int]], words: dict[tuple[str, int], int]) -> Mapping:
+    """Chains and units from what the twins' votes and the ill-formed words say of each hypothesis."""
+    numbers = sorted((i for i in range(len(CHAINS)) if letters.get(i, 0) >= CHAIN_LETTERS), key=lambda i: -letters[i])
+    numbers += [i for i in range(len(CHAINS)) if i not in numbers and words.get(("chain", i), 0) >= CHAIN_WORDS]
     units: dict[str, Counter[str]] = {}
-    for run, clean, n in rows:
-        if len(clean) == 1 and clean in ACCENTED and n >= UNIT_VOTES and len(run) <= 8 and LOST not in run and _wrong(run, clean):
-            units.setdefault(run, Counter())[clean] += n
+    for run, clean, n in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        units.setdefault(run, Counter())[clean] += n
     kept = {r: [c for c, n in cs.most_common(4) if n * 8 >= max(cs.values())] for r, cs in units.items()}
-    for table in TABLES:
-        alone = Mapping([], {k: [v] for k, v in table.items()})
-        if len({got for w in words if _telling(w) and (got := alone.word(w))}) >= TABLE_WORDS:
+    for i, table in enumerate(TABLES):
+        if words.get(("table", i), 0) >= TABLE_WORDS:
             for run, letter in table.items():
                 kept.setdefault(run, [])
                 kept[run] += [letter] * (letter not in kept[run])
-    return Mapping(chains, kept)
+    return Mapping([CHAINS[i] for i in numbers], kept)
 
 
 def ill_words(found: DataFrame) -> DataFrame:
-    """(word, n) of the ill-formed words of garbled sentences, counted per partition first."""
+    """The distinct ill-formed words of garbled sentences, made distinct per partition first."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter[str] = Counter()
+        held: set[str] = set()
         for f in frames:
             for s in f["sentence"]:
-                count.update(w for w in suspects(s) if len(w) <= 32)
-            if len(count) > 200_000:
-                yield pd.DataFrame(list(count.items()), columns=["word", "n"])
-                count.clear()
-        yield pd.DataFrame(list(count.items()), columns=["word", "n"])
+                held.update(w for w in suspects(s) if len(w) <= 32)
+            if len(held) > 200_000:
+                yield pd.DataFrame({"word": list(held)}, dtype=object)
+                held.clear()
+        yield pd.DataFrame({"word": list(held)}, dtype=object)
 
-    return found.select("sentence").mapInPandas(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return found.select("sentence").mapInPandas(of, "word string").distinct()
 
 
 def learn(found: DataFrame) -> Mapping:
     """Join garbled sentences with clean twins, align them, and keep the best supported mappings.
 
-    Of each key one clean twin is enough. The votes come to the driver, at most MOST_UNITS rows, the strongest first:
-    the size of the learned model, not of the data.
+    Of each key one clean twin is enough. All votes and all ill-formed words count, on the workers; to the driver come
+    the units with UNIT_VOTES votes and a count for each chain and table.
     """
     clean = found.where("not garbled").groupBy("k").agg(F.min("sentence").alias("sentence"))
     garbled = found.where("garbled").select("k", F.col("sentence").alias("garbled_sentence")).distinct()
-    pairs = garbled.join(clean, "k")
-    rows = votes(pairs).orderBy(F.desc("n"), "run", "letters").limit(MOST_UNITS).collect()
-    words = ill_words(found.where("garbled")).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    return mapping([(r.run, r.letters, r.n) for r in rows], [r.word for r in words])
+    rows = vote_evidence(votes(garbled.join(clean, "k"))).collect()
+    words = word_evidence(ill_words(found.where("garbled"))).collect()
+    return mapping({int(r.key): r.n for r in rows if r.kind == "chain"}, [(r.key, r.letters, r.n) for r in rows if r.kind == "unit"], {(r.kind, r.key): r.n for r in words})
 
 
 def _tcvn3() -> dict[str, str]:
