@@ -1,11 +1,13 @@
 """Filling containers of fixed capacity by linear grouping (problem 8).
 
-Rows are dealt by a hash of their key and place to shards of bounded size, which are packed independently (at most one badly
-filled container a shard is lost by that). In a shard, items above `large` of the capacity are sorted and cut into
-groups of equal cardinality; every length is rounded up to the largest of its group, which leaves a few sizes. Column
-generation finds the configurations of these sizes with the best fractional solution; its whole part is taken, actual
-items replace the rounded ones, containers they fill badly are emptied again, and what is left is put, largest first,
-where it fits best.
+Rows are dealt by a hash of their key and their rank among equal rows to shards of bounded size, which are packed
+independently (at most one badly filled container a shard is lost by that). In a shard, items above `LARGE` of the
+capacity are sorted and cut into groups of equal cardinality; every length is rounded up to the largest of its group,
+which leaves a few sizes. Column generation finds the configurations of these sizes with the best fractional solution;
+each is used as often as the whole part of its multiplicity. Actual items replace the rounded ones: a place takes the
+largest item left that is no longer than the group's bound, the last place of a container the largest that fits, so
+that what the rounding left over is used. Small items, and the few large ones that the whole parts leave, are put,
+largest first, where they fit best.
 """
 
 from __future__ import annotations
@@ -16,103 +18,124 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 20_000
-GROUPS = 20
+#: Most groups of large items, and the least items of a group: their product bounds what the whole parts leave.
+GROUPS, GROUP_ITEMS = 256, 16
+#: Items above this share of the capacity are planned; at most three of them fit a container.
 LARGE = 1 / 4
-UNITS = 512
-#: A planned container that actual items fill to less than this gives its items to the final best fit.
-KEEP = 0.99
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, float]]:
-    """Patterns (how many of each size) with their fractional multiplicities, by Gilmore-Gomory column generation."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 5000) -> list[tuple[np.ndarray, float]]:
+    """Patterns (how many of each size) with their fractional multiplicities, by Gilmore-Gomory column generation.
+
+    `sizes` fall and are above a quarter of the capacity, so a pattern has at most three items: the best one for given
+    prices is found among all pairs, each with the dearest size that still fits.
+    """
     k = len(sizes)
-    unit = max(capacity / UNITS, 1.0)
-    weight = np.maximum(np.ceil(sizes / unit - 1e-9).astype(int), 1)
-    room = int(capacity / unit + 1e-9)
-    weight = np.minimum(weight, room)
-    basis = np.diag(room // weight).astype(float)
-    x = demand / np.diag(basis)
-    inverse = np.linalg.inv(basis)
-    for _ in range(rounds):
-        dual = np.ones(k) @ inverse
-        best = np.zeros(room + 1)
-        choice = np.full(room + 1, -1)
-        for c in range(1, room + 1):
-            fits = weight <= c
-            value = np.where(fits, best[np.maximum(c - weight, 0)] + dual, -1)
-            i = int(value.argmax())
-            if value[i] > best[c - 1]:
-                best[c], choice[c] = value[i], i
-            else:
-                best[c] = best[c - 1]
-        if best[room] <= 1 + 1e-6:
+    basis = np.diag(capacity // sizes).astype(float)
+    inverse = np.diag(1 / np.diag(basis))
+    x = demand * np.diag(inverse)
+    first, second = np.triu_indices(k)
+    room = capacity - sizes[first] - sizes[second]
+    first, second, room = first[room >= 0], second[room >= 0], room[room >= 0]
+    fitting = np.searchsorted(sizes[::-1], room, side="right")  # so many of the smallest sizes fit as a third
+    for nth in range(rounds):
+        price = inverse.sum(axis=0)
+        rising = price[::-1]
+        best = np.maximum.accumulate(np.concatenate([[0.0], rising]))
+        value = price[first] + price[second] + best[fitting]
+        column, top, single = np.zeros(k), int(value.argmax()) if len(value) else -1, int(price.argmax())
+        if top >= 0 and value[top] >= price[single]:
+            gain = value[top]
+            column[first[top]] += 1
+            column[second[top]] += 1
+            if best[fitting[top]] > 0:
+                column[k - 1 - int(rising[: fitting[top]].argmax())] += 1
+        else:
+            gain = price[single]
+            column[single] = 1
+        if gain <= 1 + 1e-7:
             break
-        column, c = np.zeros(k), room
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-            else:
-                column[choice[c]] += 1
-                c -= weight[choice[c]]
         step = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, x / step, np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
+        entering = ratio[out]
+        x = x - entering * step
+        x[out] = entering
         basis[:, out] = column
-        try:
+        pivot = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, pivot)
+        inverse[out] = pivot
+        if nth % 200 == 199:  # rounding errors of the updates do not add up
             inverse = np.linalg.inv(basis)
-        except np.linalg.LinAlgError:
-            break
-        x = np.maximum(inverse @ demand, 0)
-    return [(basis[:, j], float(x[j])) for j in range(k) if x[j] > 1e-9]
+            x = inverse @ demand
+        x = np.maximum(x, 0)
+    return [(basis[:, j].astype(np.int64), float(x[j])) for j in range(k) if x[j] > 1e-9]
+
+
+def grouped(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded sizes, falling, and how many items each stands for, of falling lengths: groups of equal cardinality."""
+    values, counts = np.unique(lengths, return_counts=True)
+    if len(values) <= GROUPS and counts.mean() >= GROUP_ITEMS:
+        return values[::-1], counts[::-1].astype(float)
+    groups = max(1, min(GROUPS, len(lengths) // GROUP_ITEMS))
+    starts = np.unique(np.linspace(0, len(lengths), groups + 1).astype(np.int64)[:-1])
+    sizes, of = np.unique(-lengths[starts], return_inverse=True)
+    return -sizes, np.bincount(of, weights=np.diff(np.append(starts, len(lengths))))
+
+
+def planned(lengths: np.ndarray, big: np.ndarray, capacity: int) -> tuple[list[list[int]], np.ndarray]:
+    """Containers of large items by the best configurations, and the large items that they leave.
+
+    `big` are positions in `lengths`, by falling length. Items beside which no other large one fits need no plan.
+    """
+    alone = lengths[big] + lengths[big[-1]] > capacity
+    made = [[i] for i in big[alone].tolist()]
+    big = big[~alone]
+    if not len(big):
+        return made, big
+    sizes, demand = grouped(lengths[big])
+    stacks: dict[int, list[int]] = {}
+    mask = 0
+    for i in big[::-1].tolist():
+        stacks.setdefault(int(lengths[i]), []).append(i)
+        mask |= 1 << int(lengths[i])
+    for pattern, times in sorted(configurations(sizes, demand, capacity), key=lambda p: (-p[1], tuple(-p[0]))):
+        places = np.repeat(sizes, pattern).tolist()
+        for _ in range(int(times + 1e-9)):
+            room, container = capacity, []
+            for nth, size in enumerate(places, 1):
+                below = mask & ((1 << ((room if nth == len(places) else size) + 1)) - 1)
+                if not below:
+                    break
+                length = below.bit_length() - 1
+                container.append(stacks[length].pop())
+                if not stacks[length]:
+                    mask &= ~(1 << length)
+                room -= length
+            if container:
+                made.append(container)
+    left = np.array([i for s in stacks.values() for i in s], np.int64)
+    return made, left
 
 
 def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """A container number for each length (1..capacity)."""
-    n = len(lengths)
-    place = np.full(n, -1, np.int64)
+    place = np.full(len(lengths), -1, np.int64)
     order = np.argsort(-lengths, kind="stable")
     big = order[lengths[order] > LARGE * capacity]
-    left: list[int] = []
-    if len(big):
-        bounds = np.unique(np.linspace(0, len(big), min(GROUPS, len(big)) + 1).astype(int))
-        groups = [list(big[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        sizes = np.array([lengths[g[0]] for g in groups])
-        patterns = configurations(sizes, np.array([len(g) for g in groups], float), capacity)
-        # the largest of a group go last, so that the whole part leaves them to the final best fit
-        queues = [g[::-1] for g in groups]
-        at = 0
-        for pattern, times in sorted(patterns, key=lambda p: -p[1]):
-            picks = [(g, int(m)) for g, m in enumerate(pattern) if m]
-            for _ in range(int(times + 1e-9)):
-                if any(len(queues[g]) < m for g, m in picks):
-                    break
-                for g, m in picks:
-                    for _ in range(m):
-                        place[queues[g].pop()] = at
-                at += 1
-        left = [i for q in queues for i in q]
-        done = np.flatnonzero(place >= 0)
-        filled = np.bincount(place[done], weights=lengths[done], minlength=at)
-        good = filled >= KEEP * capacity
-        number = np.where(good, np.cumsum(good) - 1, -1)
-        place[done] = number[place[done]]
-        left += done[place[done] < 0].tolist()
-        used = int(good.sum())
-    else:
-        used = 0
-    room = np.full(used, capacity, np.int64)
-    done = np.flatnonzero(place >= 0)
-    np.subtract.at(room, place[done], lengths[done])
+    containers = planned(lengths, big, capacity)[0] if len(big) else []
     by_room: dict[int, list[int]] = {}
     mask = 0
-    for c, r in enumerate(room.tolist()):
+    for c, items in enumerate(containers):
+        place[items] = c
+        r = capacity - int(lengths[items].sum())
         by_room.setdefault(r, []).append(c)
         mask |= 1 << r
-    rest = np.concatenate([np.array(sorted(left, key=lambda i: -lengths[i]), np.int64), order[lengths[order] <= LARGE * capacity]])
-    for i in rest.tolist():
+    used = len(containers)
+    for i in order[place[order] < 0].tolist():
         size = int(lengths[i])
         fit = mask >> size
         if fit:
@@ -133,8 +156,9 @@ def fill(lengths: DataFrame, windows: list[tuple[int, int]], key: str = "doc_id"
 
     Gives window_id, capacity, key, piece, start_token, n_tokens, container_id. A row longer than the capacity becomes
     full pieces, each filling a container, and one rest that is packed like any item; no other row is split. Rows of
-    length 0 or null take no space and go to their shard's first container. Repeated keys are packed each on their
-    own. An empty table gives an empty table. `rows`, if known, saves counting them. container_id is unique in a window, not across windows.
+    length 0 or null take no space and go to their shard's first container. Repeated rows are packed each on their
+    own: they are counted first and told apart by rank, so the result depends on the rows alone, not on where they lie.
+    An empty table gives an empty table. `rows`, if known, saves counting them. container_id is unique in a window, not across windows.
     """
     rows = lengths.count() if rows is None else rows
     shards = max(1, -(-rows // shard_rows))
@@ -174,7 +198,9 @@ def fill(lengths: DataFrame, windows: list[tuple[int, int]], key: str = "doc_id"
         return pd.concat(made) if made else pd.DataFrame()
 
     schema = f"window_id int, capacity_tokens int, `{key}` {kind}, piece int, start_token long, n_tokens int, container_id long"
-    dealt = lengths.select(key, size, F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    blocks = lengths.groupBy(key, size).agg(F.count("*").alias("_n")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.expr("(_n - 1) div 1024"))))
+    ranked = blocks.withColumn("_r", F.explode(F.sequence(F.col("_b") * 1024, F.least(F.col("_n"), (F.col("_b") + 1) * 1024) - 1)))
+    dealt = ranked.select(key, size, F.pmod(F.xxhash64(key, "_r"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(of, schema)
 
 
