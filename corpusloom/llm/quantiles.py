@@ -1,8 +1,11 @@
 """Percentiles of large numeric columns from mergeable rank-interval summaries (problem 6).
 
 A summary is a list of tuples (value, rmin, rmax): the value is one of the data, and its rank lies in [rmin, rmax].
-Merging adds the ranks that the other summary allows; compressing keeps about `size` tuples at even ranks. The largest
-gap (rmax of a tuple - rmin of the one before) / 2 bounds the error of any answer in ranks; it is measured, not assumed.
+Merging adds the ranks that the other summary allows, and keeps the largest gap (rmax of a tuple - rmin of the one
+before) within the same share of the ranks. Compressing deletes a tuple only while the gap that this leaves is at most
+2 x epsilon x n, so an answer is off by at most epsilon x n ranks. The permitted epsilon grows from level to level
+(partition, day, month, dataset) up to what was asked for, which leaves each level the room to delete. A tuple between
+two of its own value goes too: whatever lies there is that value. The bound that is reached is measured as well.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE = 2000
+#: Permitted rank error of the last level, as a share of all ranks: a summary has about levels / (2 x EPSILON) tuples.
+EPSILON = 0.0005
 RUN = 1_000_000
 FAN_IN = 64
 #: Fixed: the percentiles of the distribution report.
@@ -24,21 +28,32 @@ Summary = tuple[np.ndarray, np.ndarray, np.ndarray]
 TUPLES = "value double, rmin long, rmax long, total double, run long"
 
 
-def summarise(values: np.ndarray, size: int = SIZE) -> Summary:
-    """The summary of unsorted values; exact while they are no more than `size`."""
+def summarise(values: np.ndarray, epsilon: float) -> Summary:
+    """The summary of unsorted values, with at most epsilon x n ranks of uncertainty."""
     v = np.sort(values)
     rank = np.arange(1, len(v) + 1)
-    return compress((v, rank, rank), size)
+    return compress((v, rank, rank), epsilon)
 
 
-def compress(s: Summary, size: int = SIZE) -> Summary:
-    """About `size` tuples: for each even rank the last tuple surely not beyond it, and both ends."""
+def compress(s: Summary, epsilon: float) -> Summary:
+    """As few tuples as the permitted gap of 2 x epsilon x n allows, the first and the last among them."""
     v, lo, hi = s
-    if len(v) <= size:
+    if len(v) < 3:
         return s
-    at = np.searchsorted(lo, np.linspace(1, lo[-1], size), side="right") - 1
-    keep = np.unique(np.concatenate([[0], np.maximum(at, 0), [len(v) - 1]]))
-    return v[keep], lo[keep], hi[keep]
+    ends = np.flatnonzero(np.append(v[1:] != v[:-1], True))  # last tuple of each run of equal values
+    permitted = 2 * epsilon * hi[-1]
+    if permitted < 2:  # no tuple between two others can go
+        inside = np.concatenate([[False], (v[1:-1] == v[:-2]) & (v[1:-1] == v[2:]), [False]])
+        return v[~inside], lo[~inside], hi[~inside]
+    last = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
+    reach = np.searchsorted(hi, lo + permitted, side="right") - 1
+    to = np.maximum(np.maximum(reach, last), np.arange(1, len(v) + 1)).tolist()
+    kept, i = [], 0
+    while i < len(v) - 1:
+        kept.append(i)
+        i = to[i]
+    kept = np.array([*kept, len(v) - 1])
+    return v[kept], lo[kept], hi[kept]
 
 
 def merge(a: Summary, b: Summary) -> Summary:
@@ -60,8 +75,11 @@ def merge(a: Summary, b: Summary) -> Summary:
 
 
 def error(s: Summary) -> float:
-    """The most ranks by which an answer can be off."""
-    return float(np.max(s[2][1:] - s[1][:-1], initial=0)) / 2 if len(s[0]) > 1 and (s[1] != s[2]).any() or len(s[0]) < s[2][-1] else 0.0
+    """The most ranks by which an answer can be off: half the largest gap between tuples of different values."""
+    v, lo, hi = s
+    gap = np.where(v[1:] == v[:-1], 0, hi[1:] - lo[:-1])
+    sure = (lo == hi)[1:] & (lo == hi)[:-1]
+    return float(np.max(np.where(sure, gap // 2, gap / 2), initial=0))
 
 
 def at_rank(s: Summary, rank: np.ndarray) -> np.ndarray:
@@ -85,7 +103,7 @@ def _frame(s: Summary, total: float, run: int, **keys: object) -> pd.DataFrame:
     return pd.DataFrame({**keys, "value": v, "rmin": lo.astype(np.int64), "rmax": hi.astype(np.int64), "total": total, "run": np.int64(run)})
 
 
-def partials(df: DataFrame, keys: list[str], value: str, size: int = SIZE, run: int = RUN) -> DataFrame:
+def partials(df: DataFrame, keys: list[str], value: str, epsilon: float, run: int = RUN) -> DataFrame:
     """Summaries per key of each partition (per `run` rows of it); nothing is shuffled."""
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -98,7 +116,7 @@ def partials(df: DataFrame, keys: list[str], value: str, size: int = SIZE, run:
             if held:
                 for k, g in pd.concat(held).groupby(keys, dropna=False, sort=False):
                     x = g[value].to_numpy(np.float64)
-                    yield _frame(summarise(x, size), x.sum(), part * 100_000 + nth, **dict(zip(keys, k, strict=True)))
+                    yield _frame(summarise(x, epsilon), x.sum(), part * 100_000 + nth, **dict(zip(keys, k, strict=True)))
                 nth, held = nth + 1, []
 
         for f in frames:
@@ -110,23 +128,24 @@ def partials(df: DataFrame, keys: list[str], value: str, size: int = SIZE, run:
     return df.select(*keys, value).mapInPandas(of, f"{types}, {TUPLES}")
 
 
-def combine(summaries: DataFrame, keys: list[str], size: int = SIZE, bucket: int | None = None) -> DataFrame:
-    """Merge the summaries of each key; with `bucket`, only those whose run falls in the same of so many runs."""
+def combine(summaries: DataFrame, keys: list[str], epsilon: float, bucket: int | None = None) -> DataFrame:
+    """Merge the summaries of each key and compress to `epsilon`, which is to be more than theirs.
+
+    With `bucket`, only those are merged whose run falls in the same of so many runs.
+    """
     types = ", ".join(f"`{k}` {summaries.schema[k].dataType.simpleString()}" for k in keys)
     run = F.floor(F.col("run") / bucket) if bucket else F.lit(0)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged, total = None, 0.0
         parts = [g for _, g in pdf.groupby("_source", sort=True)]
         queue = [tuple(g.sort_values(["rmin", "rmax"])[c].to_numpy() for c in ("value", "rmin", "rmax")) for g in parts]
         total = sum(float(g["total"].iloc[0]) for g in parts)
         while len(queue) > 1:  # pairwise, so that each tuple goes through few merges
-            queue = [compress(merge(*queue[i : i + 2]), 4 * size) if i + 1 < len(queue) else queue[i] for i in range(0, len(queue), 2)]
-        merged = compress(queue[0], size)
-        return _frame(merged, total, int(pdf["_run"].iloc[0]), **{k: pdf[k].iloc[0] for k in keys})
+            queue = [merge(*queue[i : i + 2]) if i + 1 < len(queue) else queue[i] for i in range(0, len(queue), 2)]
+        return _frame(compress(queue[0], epsilon), total, int(pdf["_run"].iloc[0]), **{k: pdf[k].iloc[0] for k in keys})
 
     others = [c for c in summaries.columns if c not in {*keys, "value", "rmin", "rmax", "total", "run"}]
-    source = F.concat_ws("|", "run", *[F.col(c).cast("string") for c in others])
+    source = F.concat_ws("|", "run", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others])
     return (
         summaries.select(*keys, "value", "rmin", "rmax", "total", run.alias("_run"), source.alias("_source"))
         .groupBy(*keys, "_run")
@@ -154,23 +173,32 @@ def counted(df: DataFrame, value: str = "document_words") -> DataFrame:
     return df.where(F.col(value) >= 0).groupBy("id").agg(first).select("r.dataset", "r.batch_day", F.col(f"r.{value}").cast("double").alias(value))
 
 
-def by_day(df: DataFrame, value: str = "document_words", size: int = SIZE) -> DataFrame:
+def _levels(df: DataFrame) -> int:
+    """How often the partitions' summaries are merged in groups of FAN_IN before those of a day are."""
+    buckets, levels = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    while FAN_IN ** (levels + 1) < buckets:
+        levels += 1
+    return levels
+
+
+def by_day(df: DataFrame, value: str = "document_words", epsilon: float = EPSILON) -> DataFrame:
     """Summaries per dataset and batch_day, which can be kept and combined with those of other days or files.
 
-    A null dataset or batch_day is a group of its own; an empty table gives no rows; other columns are not read.
+    Their rank error is at most epsilon x (levels below / all levels) of their rows, so that months and datasets made
+    of them stay within epsilon. A null dataset or batch_day is a group of its own; an empty table gives no rows;
+    other columns are not read.
     """
-    counted_ = counted(df, value)
-    days = partials(counted_, ["dataset", "batch_day"], value, size)
-    buckets = counted_.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    width = FAN_IN * 100_000
-    while width < int(buckets) * 100_000:  # each level merges at most FAN_IN partitions' summaries of a key
-        days = combine(days, ["dataset", "batch_day"], size, FAN_IN * 100_000)
+    levels = _levels(df)
+    step = epsilon / (levels + 4)
+    days = partials(counted(df, value), ["dataset", "batch_day"], value, step)
+    for nth in range(levels):
+        days = combine(days, ["dataset", "batch_day"], (nth + 2) * step, FAN_IN * 100_000)
         days = days.withColumn("run", F.col("run") * 100_000)
-        width *= FAN_IN
-    return combine(days, ["dataset", "batch_day"], size)
+    return combine(days, ["dataset", "batch_day"], (levels + 2) * step)
 
 
-def by_dataset(days: DataFrame, size: int = SIZE) -> DataFrame:
-    """Merge the days' summaries into months, and these into one summary per dataset."""
-    months = combine(days.withColumn("month", F.date_format("batch_day", "yyyy-MM")), ["dataset", "month"], size)
-    return combine(months, ["dataset"], size)
+def by_dataset(days: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Merge the days' summaries into months, and these into one summary per dataset, off by at most epsilon x n ranks."""
+    step = epsilon / (_levels(days) + 4)
+    months = combine(days.withColumn("month", F.date_format("batch_day", "yyyy-MM")), ["dataset", "month"], epsilon - step)
+    return combine(months, ["dataset"], epsilon)

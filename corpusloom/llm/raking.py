@@ -1,10 +1,12 @@
 """Sampling to target proportions (problem 5).
 
 Per run and dataset, the cells length bin x category of the corpus are raked by iterative proportional fitting: the
-bin margin to the target shares, the category margin to the corpus' own shares. A record's weight is its cell's fitted
-mass over its cell's population; records are drawn by weighted exponential keys -ln(u)/w, smallest first, within each
-bin's quota. Quotas are the targets by largest remainder, raised to the minimum of small bins and lowered to what the
-corpus has; what cannot be met is reported.
+bin margin to the target shares, the category margin to the corpus' own shares. The factors of the bins are few and lie
+at the driver; those of the categories follow from them and stay with the categories, of which there may be any number:
+each round sums their cells, on the driver while they are few, else on the workers. Records are drawn by weighted
+exponential keys -ln(u)/w, smallest first, within each bin's quota; within a bin the weight is the category's factor.
+Quotas are the targets by largest remainder, raised to the minimum of small bins and lowered to what the corpus has;
+what cannot be met is reported.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-#: Categories beyond the most frequent ones share one margin, so that the cell table has a fixed bound.
-CATEGORIES = 64
 MOST_TARGETS = 20_000
+#: Rows of run, dataset and category up to which the rounds are summed at the driver; beyond, on the workers.
+LOCAL_ROWS = 50_000
+#: Weights are counted for the keys' thresholds in this many steps a doubling.
+STEPS = 8
+Key = tuple[int, str]
 
 
 def counted(corpus: DataFrame) -> DataFrame:
@@ -36,8 +41,9 @@ def plan(targets: DataFrame, configs: DataFrame) -> pd.DataFrame:
     rows = joined.limit(MOST_TARGETS + 1).toPandas()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} target bins")
-    rows["needed"] = [max(int(m), round(s * n)) for m, s, n in zip(rows.min_per_bin, rows.target_share, rows.samples_per_dataset, strict=True)]
-    return rows.sort_values(["config_id", "dataset", "length_bin"], ignore_index=True)
+    rows["needed"] = [int(needs([s], n, m)[0]) for m, s, n in zip(rows.min_per_bin, rows.target_share, rows.samples_per_dataset, strict=True)]
+    rows = rows.sort_values(["config_id", "dataset", "length_bin"], ignore_index=True)
+    return rows.assign(at=rows.groupby(["config_id", "dataset"]).cumcount())
 
 
 def histogram(records: DataFrame) -> DataFrame:
@@ -45,33 +51,83 @@ def histogram(records: DataFrame) -> DataFrame:
     return records.groupBy("dataset", "document_words", "category").agg(F.count("*").alias("n"))
 
 
-def cells(counts: DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
-    """Population of each run, dataset, bin and category of at most CATEGORIES + 1, at the driver.
+def vectors(counts: DataFrame, bins: pd.DataFrame) -> DataFrame:
+    """(config_id, dataset, category, n): how many records each category has in the run's bins, in the bins' order.
 
-    The categories past the bound are one; the table has at most len(bins) x (CATEGORIES + 1) rows.
+    A null category is a category. The vectors are as long as a run has bins.
     """
     spark = counts.sparkSession
-    top = [r.category for r in counts.groupBy("category").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "category").limit(CATEGORIES).collect()]
-    named = [c for c in top if c is not None]
-    group = F.when(F.col("category").isin(named), F.col("category")) if named else F.lit(None).cast("string")
-    small = spark.createDataFrame(bins[["config_id", "dataset", "length_bin", "low_words", "high_words"]])
-    lengths = counts.groupBy("dataset", "document_words", group.alias("category")).agg(F.sum("n").alias("n"))
+    small = spark.createDataFrame(bins[["config_id", "dataset", "at", "low_words", "high_words"]], "config_id int, dataset string, at int, low_words int, high_words int")
     inside = (F.col("document_words") >= F.col("low_words")) & (F.col("document_words") < F.col("high_words"))
-    joined = lengths.join(F.broadcast(small), "dataset").where(inside)
-    return joined.groupBy("config_id", "dataset", "length_bin", "category").agg(F.sum("n").cast("long").alias("n")).toPandas()
-
-
-def rake(population: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Fit the table to both margins (each a share); empty cells stay empty, margins of empty rows are given up."""
-    fitted = population / max(population.sum(), 1)
-    rows = np.where(population.sum(axis=1) > 0, rows, 0)
-    rows = rows / max(rows.sum(), 1e-300)
-    for _ in range(rounds):
-        fitted = fitted * _ratio(rows, fitted.sum(axis=1))[:, None]
-        fitted = fitted * _ratio(columns, fitted.sum(axis=0))[None, :]
-        if np.abs(fitted.sum(axis=1) - rows).max(initial=0) < tolerance:
+    joined = counts.join(F.broadcast(small), "dataset").where(inside)
+    cells = joined.groupBy("config_id", "dataset", "category", "at").agg(F.sum("n").cast("long").alias("n"))
+    packed = cells.groupBy("config_id", "dataset", "category").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    width = spark.createDataFrame(bins.groupby(["config_id", "dataset"], as_index=False)["at"].max(), "config_id int, dataset string, last int")
+    filled = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return packed.join(F.broadcast(width), ["config_id", "dataset"]).select("config_id", "dataset", "category", filled.alias("n"))
+
+
+def factors(n: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The factor of each category (row of `n`) that fits its margin, its own share, given those of the bins."""
+    return _ratio(n.sum(axis=1), n @ r)
+
+
+def _sums(frame: pd.DataFrame, r: dict[Key, np.ndarray] | None) -> dict[Key, np.ndarray]:
+    """The bins' sums over the categories of a frame of `vectors`, scaled by their factors (unscaled without `r`)."""
+    out = {}
+    for key, g in frame.groupby(["config_id", "dataset"], sort=False):
+        n = np.stack(g["n"].to_list()).astype(float)
+        out[key] = n.sum(axis=0) if r is None else (n * factors(n, r[key])[:, None]).sum(axis=0)
+    return out
+
+
+class Rounds:
+    """The sums of a table of vectors, by whichever way its size asks for."""
+
+    def __init__(self, table: DataFrame, local_rows: int = LOCAL_ROWS):
+        self.table = table
+        few = table.limit(local_rows + 1).toPandas()
+        self.held = few if len(few) <= local_rows else None
+
+    def __call__(self, r: dict[Key, np.ndarray] | None) -> dict[Key, np.ndarray]:
+        if self.held is not None:
+            return _sums(self.held, r)
+
+        def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for (config, dataset), sums in _sums(f, r).items():
+                    yield pd.DataFrame({"config_id": config, "dataset": dataset, "at": np.arange(len(sums)), "x": sums})
+
+        rows = self.table.mapInPandas(of, "config_id int, dataset string, at int, x double").groupBy("config_id", "dataset", "at").agg(F.sum("x").alias("x")).toPandas()
+        return {k: g.sort_values("at").x.to_numpy() for k, g in rows.groupby(["config_id", "dataset"])}
+
+
+def fit(sums: Rounds, shares: dict[Key, np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> tuple[dict[Key, np.ndarray], dict[Key, np.ndarray]]:
+    """(population of the bins, factors of the bins) after iterative proportional fitting of both margins.
+
+    Empty cells stay empty, margins of empty bins are given up.
+    """
+    population = sums(None)
+    wanted = {}
+    for key, n in population.items():
+        w = np.where(n > 0, shares[key], 0)
+        wanted[key] = w / max(w.sum(), 1e-300)
+    r = {k: _ratio(wanted[k] * n.sum(), n) for k, n in population.items()}
+    for _ in range(rounds if r else 0):
+        made = sums(r)
+        off = max(np.abs(r[k] * made[k] - wanted[k] * population[k].sum()).max() / max(population[k].sum(), 1) for k in r)
+        if off < tolerance:
             break
-    return fitted * _ratio(rows, fitted.sum(axis=1))[:, None]
+        r = {k: _ratio(wanted[k] * population[k].sum(), made[k]) for k in r}
+    return population, r
+
+
+def rake(population: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The fitted table of bins x categories, as shares: the row margin to `rows`, the column margin to its own."""
+    frame = pd.DataFrame({"config_id": 0, "dataset": "", "n": list(population.T)})
+    _, r = fit(lambda r: _sums(frame, r), {(0, ""): rows})
+    n = population.T.astype(float)
+    return (n * r[0, ""] * factors(n, r[0, ""])[:, None]).T / max(population.sum(), 1)
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,10 +137,12 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def quotas(share: np.ndarray, population: np.ndarray, samples: int, least: int) -> np.ndarray:
     """Whole numbers per bin: largest remainder of the targets, at least `least`, at most the population.
 
-    What small bins get above their target, and what bins lack, comes from or goes to the other bins by their shares.
+    A bin that the corpus cannot fill gives all it has. What small bins get above their target, and what bins lack,
+    comes from or goes to the other bins by their shares.
     """
     want = share / max(share.sum(), 1e-300) * samples
-    floor = np.minimum(least, population)
+    short = population < needs(share, samples, least)
+    floor = np.where(short, population, np.minimum(least, population))
     quota = np.clip(want, floor, population)
     for _ in range(100):
         gap = samples - quota.sum()
@@ -100,35 +158,50 @@ def quotas(share: np.ndarray, population: np.ndarray, samples: int, least: int)
     return whole
 
 
-def design(bins: pd.DataFrame, cell: pd.DataFrame) -> tuple[pd.DataFrame, dict[tuple, float]]:
-    """Quota and key threshold per bin, and the weight of a record of each (config, dataset, bin, category)."""
-    out, weights = [], {}
-    by = {k: g for k, g in cell.groupby(["config_id", "dataset"])}
-    for key, b in bins.groupby(["config_id", "dataset"], sort=True):
-        b = b.sort_values("length_bin")
-        c = by.get(key, cell.iloc[:0])
-        names = list(dict.fromkeys(None if pd.isna(x) else x for x in c.category))
-        n = np.zeros((len(b), max(len(names), 1)))
-        at = {v: i for i, v in enumerate(b.length_bin)}
-        for r in c.itertuples():
-            n[at[r.length_bin], names.index(None if pd.isna(r.category) else r.category)] += r.n
-        fitted = rake(n, b.target_share.to_numpy(float), n.sum(axis=0) / max(n.sum(), 1))
-        w = np.divide(fitted, n, out=np.zeros_like(n), where=n > 0)
-        w /= np.where(w.max(axis=1, keepdims=True) > 0, w.max(axis=1, keepdims=True), 1)
-        quota = quotas(b.target_share.to_numpy(float), n.sum(axis=1), int(b.samples_per_dataset.iloc[0]), int(b.min_per_bin.iloc[0]))
-        out.append(b.assign(population=n.sum(axis=1).astype(np.int64), quota=quota, threshold=[threshold(n[i], w[i], int(q)) for i, q in enumerate(quota)]))
-        weights |= {(*key, int(v), name): float(w[i, j]) for v, i in at.items() for j, name in enumerate(names) if n[i, j]}
-    return pd.concat(out, ignore_index=True), weights
+def needs(share: np.ndarray, samples: int, least: int) -> np.ndarray:
+    """What each bin is to have: its part of the samples, rounded, or the minimum."""
+    return np.array([max(int(least), round(float(s) * int(samples))) for s in share])
+
+
+def design(bins: pd.DataFrame, table: DataFrame, local_rows: int = LOCAL_ROWS) -> tuple[pd.DataFrame, dict[Key, np.ndarray]]:
+    """Population, quota and key threshold per bin, and the bins' factors per run and dataset."""
+    groups = {k: g.sort_values("at") for k, g in bins.groupby(["config_id", "dataset"], sort=True)}
+    population, r = fit(Rounds(table, local_rows), {k: g.target_share.to_numpy(float) for k, g in groups.items()})
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for (config, dataset), g in f.groupby(["config_id", "dataset"], sort=False):
+                n = np.stack(g["n"].to_list())
+                w = factors(n.astype(float), r[config, dataset])
+                step = np.floor(np.log2(np.where(w > 0, w, 1)) * STEPS).astype(int)
+                category, at = np.nonzero(n * (w > 0)[:, None])
+                yield pd.DataFrame({"config_id": config, "dataset": dataset, "at": at, "step": step[category], "n": n[category, at]})
+
+    weighed = table.mapInPandas(spread, "config_id int, dataset string, at int, step int, n long").groupBy("config_id", "dataset", "at", "step").agg(F.sum("n").alias("n")).toPandas()
+    by = {k: g for k, g in weighed.groupby(["config_id", "dataset", "at"])}
+    out = []
+    for key, g in groups.items():
+        n = population.get(key, np.zeros(len(g))).astype(np.int64)
+        quota = quotas(g.target_share.to_numpy(float), n, int(g.samples_per_dataset.iloc[0]), int(g.min_per_bin.iloc[0]))
+        limit = []
+        for i, q in enumerate(quota.tolist()):
+            w = by.get((*key, i))
+            limit.append(math.inf if w is None or q >= n[i] else threshold(w.n.to_numpy(float), 2.0 ** (w.step.to_numpy(float) / STEPS), q))
+        out.append(g.assign(population=n, quota=quota, threshold=limit))
+    return pd.concat(out, ignore_index=True) if out else bins.assign(population=0, quota=0, threshold=math.inf), r
 
 
 def threshold(n: np.ndarray, w: np.ndarray, quota: int, slack: float = 8.0) -> float:
-    """A key below which at least `quota` records lie, as good as surely; infinite where all may be needed."""
+    """A key below which at least `quota` records lie, as good as surely; infinite where all may be needed.
+
+    `w` may be lower bounds of the weights.
+    """
     need = quota + slack * math.sqrt(quota) + 64
-    if n[w > 0].sum() <= need:
+    if n.sum() <= need:
         return math.inf
-    low, high = 0.0, 1.0
     expected = lambda t: float((n * -np.expm1(-w * t)).sum())
-    while expected(high) < need and high < 1e12:
+    low, high = 0.0, 1 / w.max()
+    while expected(high) < need and high < 1e300:
         high *= 2
     for _ in range(60):
         middle = (low + high) / 2
@@ -136,41 +209,51 @@ def threshold(n: np.ndarray, w: np.ndarray, quota: int, slack: float = 8.0) -> f
     return high if expected(high) >= need else math.inf
 
 
-def keyed(records: DataFrame, bins: pd.DataFrame, weights: dict[tuple, float]) -> DataFrame:
+def scaled(records: DataFrame, table: DataFrame, r: dict[Key, np.ndarray]) -> DataFrame:
+    """`records` with f, a map of each run's factor of their category; those in no run's bins are left out.
+
+    One row per dataset and category is joined; adaptive execution broadcasts it while it is small, and splits the
+    categories that very many records have.
+    """
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for (config, dataset), g in f.groupby(["config_id", "dataset"], sort=False):
+                w = factors(np.stack(g["n"].to_list()).astype(float), r[config, dataset])
+                yield pd.DataFrame({"config_id": config, "dataset": dataset, "category": g["category"], "f": w})
+
+    each = table.mapInPandas(of, "config_id int, dataset string, category string, f double")
+    maps = each.groupBy(F.col("dataset").alias("_d"), F.col("category").alias("_c")).agg(F.map_from_entries(F.collect_list(F.struct("config_id", "f"))).alias("f"))
+    same = (F.col("dataset") == F.col("_d")) & F.col("category").eqNullSafe(F.col("_c"))
+    return records.join(maps, same).drop("_d", "_c")
+
+
+def keyed(records: DataFrame, bins: pd.DataFrame) -> DataFrame:
     """Per record, run and bin its exponential key, kept only up to the bin's threshold; made without a shuffle."""
-    groups = {}
+    groups: dict[str, list[tuple]] = {}
     for (config, dataset), b in bins.groupby(["config_id", "dataset"]):
         groups.setdefault(dataset, []).append((int(config), int(b.seed.iloc[0]), b.length_bin.to_numpy(), b.low_words.to_numpy(), b.high_words.to_numpy(), b.threshold.to_numpy()))
-    names = sorted({k[3] for k in weights if k[3] is not None})
-    code = {n: i + 1 for i, n in enumerate(names)}
-    table = {(c, d, b): np.zeros(len(names) + 1) for c, d, b, _ in weights}
-    for (c, d, b, n), w in weights.items():
-        table[c, d, b][code.get(n, 0)] = w
-    shared = records.sparkSession.sparkContext.broadcast((groups, code, table))
+    shared = records.sparkSession.sparkContext.broadcast(groups)
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups, code, table = shared.value
         for f in frames:
             for dataset, g in f.groupby("dataset", sort=False):
                 words = g.document_words.to_numpy(np.int64)
-                category = g.category.map(code).fillna(0).to_numpy(np.int64)
+                code, kinds = pd.factorize(g.category, use_na_sentinel=False)
+                first = g.iloc[pd.Series(code).drop_duplicates().index]
                 base = g.h.to_numpy(np.int64).view(np.uint64)
-                for config, seed, number, low, high, limit in groups.get(dataset, ()):
+                for config, seed, number, low, high, limit in shared.value.get(dataset, ()):
+                    factor = np.array([dict(m).get(config, 0.0) for m in first.f])[code] if len(kinds) else np.zeros(0)
                     u = (_mix(base ^ np.uint64((seed * 0x9E3779B97F4A7C15 + config) % 2**64)) >> np.uint64(11)).astype(float) / 2.0**53
-                    unit = -np.log(np.maximum(u, 2.0**-54))
+                    with np.errstate(divide="ignore"):
+                        keys = -np.log(np.maximum(u, 2.0**-54)) / factor
                     for b, lo, hi, most in zip(number, low, high, limit, strict=True):
-                        w = table.get((config, dataset, int(b)))
-                        at = np.flatnonzero((words >= lo) & (words < hi))
-                        if w is None or not len(at):
-                            continue
-                        with np.errstate(divide="ignore"):
-                            key = unit[at] / w[category[at]]
-                        keep = (key <= most) if np.isfinite(most) else np.full(len(at), True)
-                        at, key = at[keep], np.minimum(key[keep], 1e300)
-                        yield pd.DataFrame({"config_id": np.int32(config), "dataset": dataset, "length_bin": np.int32(b), "key": key, "id": g.id.to_numpy()[at], "document_words": words[at], "category": g.category.to_numpy()[at]})
+                        at = np.flatnonzero((words >= lo) & (words < hi) & (keys <= most))
+                        if len(at):
+                            yield pd.DataFrame({"config_id": np.int32(config), "dataset": dataset, "length_bin": np.int32(b), "key": np.minimum(keys[at], 1e300), "id": g.id.to_numpy()[at], "document_words": words[at], "category": g.category.to_numpy()[at]})
 
     schema = "config_id int, dataset string, length_bin int, key double, id string, document_words int, category string"
-    return records.select("id", "dataset", "document_words", "category", F.xxhash64("id").alias("h")).mapInPandas(of, schema)
+    return records.select("id", "dataset", "document_words", "category", "f", F.xxhash64("id").alias("h")).mapInPandas(of, schema)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -179,11 +262,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sample(corpus: DataFrame, targets: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sample(corpus: DataFrame, targets: DataFrame, configs: DataFrame, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, DataFrame]:
     """The sampled records, and a report with one row per target bin.
 
     Sample: config_id, dataset, length_bin, id, document_words, category, nth (1.. in its bin, by key). Report:
-    config_id, dataset, length_bin, population, needed, quota, sampled, gap (how many the corpus lacks of `needed`).
+    config_id, dataset, length_bin, population, needed, quota, sampled, gap (what is lacking of `needed` where all
+    records of the bin were taken).
     Ids delivered twice count once; null or negative lengths are in no bin; a bin or dataset without records has
     sampled 0 and its whole need as gap; a null category is a category; runs without settings are left out. The keys
     depend only on the run's seed and the id, so repeated runs and any partitioning give the same sample.
@@ -191,12 +275,14 @@ def sample(corpus: DataFrame, targets: DataFrame, configs: DataFrame) -> tuple[D
     spark = corpus.sparkSession
     bins = plan(targets, configs)
     records = cut(counted(corpus))
-    bins, weights = design(bins, cells(histogram(records), bins))
+    table = cut(vectors(histogram(records), bins))
+    bins, r = design(bins, table, local_rows)
+    records = scaled(records, table, r)
     wide = int(bins.quota.max()) if len(bins) else 0
     order = Window.partitionBy("config_id", "dataset", "length_bin").orderBy("key", "id")
     quota = spark.createDataFrame(bins[["config_id", "dataset", "length_bin", "quota"]].astype({"config_id": "int32", "length_bin": "int32"}), "config_id int, dataset string, length_bin int, quota long")
     while True:
-        ranked = keyed(records, bins, weights).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wide)
+        ranked = keyed(records, bins).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wide)
         taken = cut(ranked.join(F.broadcast(quota), ["config_id", "dataset", "length_bin"]).where("nth <= quota").drop("quota", "key"))
         got = taken.groupBy("config_id", "dataset", "length_bin").count().toPandas()
         rows = bins.merge(got, "left", ["config_id", "dataset", "length_bin"]).fillna({"count": 0})
@@ -205,15 +291,12 @@ def sample(corpus: DataFrame, targets: DataFrame, configs: DataFrame) -> tuple[D
             break
         bins.loc[short, "threshold"] = math.inf  # the threshold was too low there: look at all
     rows["sampled"] = rows["count"].astype("int64")
-    rows["gap"] = (rows.needed - rows.population).clip(lower=0)
+    rows["gap"] = (rows.needed - rows.sampled).where(rows.sampled == rows.population, 0).clip(lower=0)
     table = rows[["config_id", "dataset", "length_bin", "population", "needed", "quota", "sampled", "gap"]]
     schema = "config_id int, dataset string, length_bin int, population long, needed long, quota long, sampled long, gap long"
     return taken, spark.createDataFrame(table, schema)
 
 
 def unmet(corpus: DataFrame, targets: DataFrame, configs: DataFrame) -> DataFrame:
-    """config_id, dataset, length_bin of the bins whose need exceeds the corpus' population (the report's gaps)."""
-    bins = plan(targets, configs)
-    bins, _ = design(bins, cells(histogram(counted(corpus)), bins))
-    short = bins[bins.population < bins.needed][["config_id", "dataset", "length_bin"]]
-    return corpus.sparkSession.createDataFrame(short.astype({"config_id": "int32", "length_bin": "int32"}), "config_id int, dataset string, length_bin int")
+    """config_id, dataset, length_bin of the bins of which the sampler took all records and still lacks some."""
+    return sample(corpus, targets, configs)[1].where("gap > 0").select("config_id", "dataset", "length_bin")
