@@ -19,15 +19,15 @@ def number(x: Column) -> Column:
 
 
 def finite_positive(x: Column) -> Column:
-    """x where it is a finite number above 0, else null."""
-    d = x.cast("double")
+    """x where it is a finite number above 0, else null; a truth value is no number."""
+    d = F.when(F.typeof(x) != "boolean", x).try_cast("double")
     return F.when((d > 0) & (d < float("inf")) & ~F.isnan(d), d)
 
 
 def counter(x: Column) -> Column:
-    """x as a long where it is a whole number of at least 0, else null."""
-    d = x.cast("double")
-    return F.when((d >= 0) & (d == F.floor(d)), d.cast("long"))
+    """x as a long where it is a whole finite number of at least 0, else null; a truth value is no number."""
+    d = F.when(F.typeof(x) != "boolean", x).try_cast("double")
+    return F.when((d >= 0) & (d < 9.2e18) & (d == F.floor(d)), d.cast("long"))
 
 
 def linear(x: Column, p: float) -> Column:

@@ -275,11 +275,34 @@ def hash_score(*parts: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def canonical_json_hash(s: pd.Series) -> pd.Series:
-    """SHA-256 of a JSON text with sorted keys and no spaces."""
-    return s.map(lambda t: hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest(), na_action="ignore")
+    """SHA-256 of a JSON text with sorted keys and no spaces; NaN and infinite numbers are refused."""
 
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} is no JSON number")
 
-@F.pandas_udf(T.StringType())
-def token_ids_hash(s: pd.Series) -> pd.Series:
-    """SHA-256 of token ids as little-endian 64-bit numbers after their count."""
-    return s.map(lambda ids: hashlib.sha256(struct.pack(f"<q{len(ids)}q", len(ids), *map(int, ids))).hexdigest(), na_action="ignore")
+    def of(t: str) -> str:
+        value = json.loads(t, parse_constant=refuse)
+        return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
+
+    return s.map(of, na_action="ignore")
+
+
+def token_ids_hash(ids: Column, prefix: bytes = b"") -> Column:
+    """SHA-256 of a version prefix, the count as 8 bytes and each id as 4 bytes, high byte first; an id beyond 32 bits fails."""
+
+    @F.pandas_udf(T.StringType())
+    def of(s: pd.Series) -> pd.Series:
+        def one(x: list[int]) -> str:
+            values = [int(i) for i in x]
+            if any(not 0 <= i <= 0xFFFFFFFF for i in values):
+                raise ValueError("token ids must fit 32 bits without a sign")
+            return hashlib.sha256(prefix + struct.pack(f">Q{len(values)}I", len(values), *values)).hexdigest()
+
+        return s.map(one, na_action="ignore")
+
+    return of(ids)
+
+
+def decoded(x: Column) -> Column:
+    """Decoded text for comparing: compatibility form, white space runs as one space, stripped."""
+    return strip(F.regexp_replace(nfkc(x), f"{SPACE}+", " "))

@@ -32,15 +32,22 @@ def folded(events: DataFrame, keys: list[str], order: str, ids: str, text: str,
 
 
 def turns(df: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
-    """One row per assistant turn with what was said before it; a conversation with a bad turn gives none.
+    """One row per assistant turn of the conversations without a bad turn; what was said before is referred to, not copied.
 
-    Bad is an unknown role or an empty text. Conversations are gathered one by one.
+    Bad is an unknown role or an empty text. A turn's context is the conversation's rows with a lower `turn`; `context`
+    joins them where they are asked for. Bad conversations are found by a pre-aggregated count.
     """
-    w = Window.partitionBy(conversation).orderBy(turn)
     good = F.col(role).isin("user", "assistant", "system", "tool") & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    rows = df.withColumn("_all", F.every(good).over(Window.partitionBy(conversation)))
-    before = F.collect_list(F.struct(F.col(role), F.col(text))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("context", before).where(F.col("_all") & (F.col(role) == "assistant")).drop("_all")
+    bad = df.where(~F.coalesce(good, F.lit(False))).select(conversation).distinct()
+    return df.where(F.col(role) == "assistant").join(bad, conversation, "left_anti")
+
+
+def context(asked: DataFrame, df: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
+    """`asked` (rows of `turns`) with `context`, the array of what was said before: for the turns that are rendered now."""
+    told = df.select(conversation, F.col(turn).alias("_turn"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("_said"))
+    joined = asked.join(told, conversation, "left")
+    before = F.array_sort(F.collect_list(F.when(F.col("_turn") < F.col(turn), F.col("_said"))))
+    return joined.groupBy(*asked.columns).agg(before.alias("context"))
 
 
 def accounting(df: DataFrame, status: str = "status") -> DataFrame:
@@ -50,11 +57,22 @@ def accounting(df: DataFrame, status: str = "status") -> DataFrame:
     return made.withColumn("balanced", F.col("rows") == F.col("success") + F.col("error") + F.col("skipped"))
 
 
-def shows(log: DataFrame, marks: list[str], last: int = 200, line: str = "line", value: str = "value") -> DataFrame:
-    """file, found: whether one of the marks stands in the last lines of a log, whatever the case."""
+def shows(log: DataFrame, marks: list[str], last: int = 65_536, line: str = "line", value: str = "value") -> DataFrame:
+    """file, found: whether one of the marks stands in the last bytes of a log, whatever the case.
+
+    Only the last `last` lines of a file can hold them; of these, so many as there are bytes are looked at, the first
+    one in part. A mark does not go across lines.
+    """
     ends = log.groupBy("file").agg(F.max(line).alias("_end"))
     tail = log.join(ends, "file").where(F.col(line) > F.col("_end") - last)
+    later = Window.partitionBy("file").orderBy(F.col(line).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length(F.coalesce(F.col(value), F.lit("")))
+    left = F.lit(last) - F.coalesce(F.sum(size + 1).over(later), F.lit(0)) - 1
+    cut_ = tail.withColumn("_left", left).withColumn("_size", size).where("_left > 0")
+    raw = F.substring(F.col(value).cast("binary"), F.greatest(F.col("_size") - F.col("_left"), F.lit(0)).cast("int") + 1, F.lit(1 << 30))
+    text = F.lower(F.expr("decode(`_tail`, 'utf-8')"))
+    cut_ = cut_.withColumn("_tail", raw)
     hit: Column = F.lit(False)
     for m in marks:
-        hit = hit | F.contains(F.lower(value), F.lit(m.lower()))
-    return tail.groupBy("file").agg(F.some(hit).alias("found"))
+        hit = hit | F.coalesce(F.contains(text, F.lit(m.lower())), F.lit(False))
+    return cut_.groupBy("file").agg(F.some(hit).alias("found"))

@@ -69,11 +69,25 @@ def timing_cascade(request: Column, metrics: Column, batch_ms: Column, batch_siz
     return F.coalesce(S.finite_positive(request), S.finite_positive(metrics), S.ratio(batch_ms, batch_size))
 
 
-def acceptance(accepted: Column, proposed: Column, steps: Column) -> Column:
-    """(rate, mean_length, per_step, rejected): accepted over proposed; 1 + accepted over steps; null without a positive divisor."""
-    rate = F.when((proposed > 0) & (accepted <= proposed), S.ratio(accepted, proposed))
-    per = F.when(steps > 0, S.ratio(accepted, steps))
-    return F.struct(rate.alias("rate"), (per + 1).alias("mean_length"), per.alias("per_step"), (1 - rate).alias("rejected"))
+def acceptance(accepted: Column, proposed: Column, steps: Column, rate: Column | None = None, mean_length: Column | None = None) -> Column:
+    """verification_steps, draft_tokens_accepted, draft_tokens_proposed, avg_accept_length, accepted_draft_tokens_per_step,
+    acceptance_rate, acceptance_rate_percent, rejected_draft_ratio.
+
+    Counters that are no whole numbers are null. The rate is accepted over proposed; where neither counter is there, it
+    is the fallback `rate` if that lies in [0, 1]; else null. The mean length is 1 + accepted over steps, or without
+    these the fallback `mean_length` if that is at least 1.
+    """
+    a, p, n = S.counter(accepted), S.counter(proposed), S.counter(steps)
+    none = F.lit(None).cast("double")
+    number = lambda c: none if c is None else S.number(c.try_cast("double"))
+    other_rate, other_mean = number(rate), number(mean_length)
+    raw = F.when((p > 0) & (a <= p), a / p).when(accepted.isNull() & proposed.isNull(), F.when(other_rate.between(0, 1), other_rate))
+    per = F.when(n > 0, a / n)
+    mean = F.coalesce(per + 1, F.when((other_mean >= 1) & (other_mean < float("inf")), other_mean))
+    return F.struct(
+        n.alias("verification_steps"), a.alias("draft_tokens_accepted"), p.alias("draft_tokens_proposed"), F.round(mean, 4).alias("avg_accept_length"), F.round(per, 4).alias("accepted_draft_tokens_per_step"),
+        F.round(raw, 6).alias("acceptance_rate"), F.round(raw * 100, 4).alias("acceptance_rate_percent"), F.round(1 - raw, 6).alias("rejected_draft_ratio"),
+    )
 
 
 def acceptance_issues(lengths: Column, histogram: Column, accepted: Column, proposed: Column, steps: Column, mean: Column, tolerance: float = 1e-3) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import hash_score
 from corpusloom.operators.ranking import numbered, top
+from corpusloom.session import cut
 
 #: Fixed: half-open token-length bins, and right-closed length labels.
 TOKEN_BINS = [("0-1k", 0, 1000), ("1k-2k", 1000, 2000), ("2k-4k", 2000, 4000), ("4k-6k", 4000, 6000), ("6k-12k", 6000, 12000)]
@@ -140,26 +141,36 @@ def non_empty_split(df: DataFrame, document: str, order: list[str], split: str =
     return out
 
 
-def disambiguated(df: DataFrame, identity: str, file: str, line: str, name: str = "record_id") -> DataFrame:
-    """Ids made unique: all but the first row of an id (by file, line) get `::file:line`; a made id that exists gets `:2`.
+def disambiguated(df: DataFrame, identity: str, file: str, line: str, name: str = "record_id", order: list[str] | None = None) -> DataFrame:
+    """Ids made unique in the order of file and line (and `order`, which tells rows of one line apart).
 
-    Ids are numbered without gathering an id's rows in one task.
+    A row whose id an earlier row has gets `::file:line`, and while an earlier row has that too, `:2`, `:3` and so on; a
+    later literal id gives way to an earlier made one. Every round, of the rows with one name the first keeps it and
+    the others go on to their next; two or three rounds do unless ids imitate made ones. The first row of a name is
+    found by a pre-aggregated minimum, so no id's rows are gathered. A null id is the empty one.
     """
-    r = numbered(df, [identity], [F.col(file), F.col(line)], "_rank", "_total")
-    made = F.when(F.col("_rank") == 1, F.col(identity)).otherwise(F.concat_ws("", F.col(identity), F.lit("::"), F.col(file), F.lit(":"), F.col(line)))
-    named = r.withColumn(name, made)
-    taken = df.select(F.col(identity).alias(name)).distinct().withColumn("_taken", F.lit(True))
-    clash = (F.col("_rank") > 1) & F.coalesce("_taken", F.lit(False))
-    return named.join(taken, name, "left").withColumn(name, F.when(clash, F.concat(F.col(name), F.lit(":2"))).otherwise(F.col(name))).drop("_rank", "_total", "_taken")
+    by = F.struct(*[F.col(c) for c in (file, line, *(order or []))])
+    base, first = F.coalesce(F.col(identity).cast("string"), F.lit("")), F.col("_k") == 0
+    made = F.concat(base, F.lit("::"), F.coalesce(F.col(file).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(line).cast("string"), F.lit("")))
+    named = F.when(first, base).otherwise(F.concat(made, F.when(F.col("_k") > 1, F.concat(F.lit(":"), F.col("_k").cast("string"))).otherwise(F.lit(""))))
+    rows = df.withColumn("_k", F.lit(0)).withColumn(name, base)
+    while True:
+        holders = rows.groupBy(F.col(name).alias("_n")).agg(F.min(by).alias("_first"))
+        moved = rows.join(holders, rows[name] == F.col("_n")).withColumn("_moves", by != F.col("_first"))
+        rows = cut(moved.withColumn("_k", F.col("_k") + F.col("_moves").cast("int")).withColumn(name, named).drop("_n", "_first"))
+        if rows.where("_moves").isEmpty():
+            return rows.drop("_k", "_moves")
+        rows = rows.drop("_moves")
 
 
 def shard(position: Column, shards: int) -> Column:
     return F.pmod(position, F.lit(shards)).cast("int")
 
 
-def consecutive(position: Column, size: int) -> Column:
-    """The number of the group of `size` consecutive positions."""
-    return F.floor(position / size).cast("int")
+def consecutive(position: Column, size: int, total: Column) -> Column:
+    """The number of the group of `size` consecutive positions of `total`; a total that leaves a rest fails."""
+    whole = F.when(total % size == 0, F.floor(position / size)).otherwise(F.raise_error(F.concat(total.cast("string"), F.lit(f" is no multiple of {size}"))).cast("bigint"))
+    return whole.cast("int")
 
 
 def balanced_shards(df: DataFrame, keys: list[str], index: str, weight: str, shards: int) -> DataFrame:

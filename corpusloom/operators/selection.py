@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
+
 
 def chosen(text: str, known: Sequence[str]) -> list[str]:
     """The names of a comma-separated choice in the canonical order; `all` is every one, repeats count once, unknown ones fail."""
@@ -64,8 +66,8 @@ def budget_reason(prompt: Column, tokens: Column, budget: int) -> Column:
 
 
 def integrity(text: Column, decoded: Column) -> Column:
-    """Whether a text is what its tokens decode to; null where either is unknown."""
-    return F.when(text.isNull() | decoded.isNull(), F.lit(None).cast("boolean")).otherwise(F.trim(text) == F.trim(decoded))
+    """Whether a text is what its tokens decode to, in compatibility form and with white space folded; null where either is unknown."""
+    return F.when(text.isNull() | decoded.isNull(), F.lit(None).cast("boolean")).otherwise(X.decoded(text) == X.decoded(decoded))
 
 
 def config_differences(a: DataFrame, b: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

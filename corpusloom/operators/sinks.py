@@ -89,8 +89,10 @@ def markdown(df: DataFrame, title: str, most: int = 500) -> str:
 
 
 def bars(histogram: DataFrame, label: str, count: str, width: int = 40, most: int = 200) -> str:
-    """A histogram of few bins as text."""
-    rows = histogram.orderBy(label).limit(most).collect()
+    """A histogram of few bins as text; more than `most` are refused."""
+    rows = histogram.orderBy(label).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} bins in a histogram")
     top = max((r[count] for r in rows), default=1) or 1
     return "\n".join(f"{r[label]!s:>12} {'#' * round(width * r[count] / top)} {r[count]}" for r in rows)
 

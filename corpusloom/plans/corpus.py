@@ -173,13 +173,12 @@ def content_hash_split(spark, base):
     return documents(spark, base).select("doc_id", P.split_of(F.coalesce("text", F.lit("")), 42, 0.05).alias("split"))
 
 
-@query("""WITH r AS (SELECT row_id, id, source_file, source_line, row_number() OVER (PARTITION BY id ORDER BY source_file, source_line, row_id) AS r FROM summary_records)
-SELECT row_id, CASE WHEN r = 1 THEN id ELSE id || '::' || source_file || ':' || source_line || '#' || row_id END AS record_id FROM r""")
-def duplicate_id_suffix(spark, base):
-    d = table(spark, base, "summary_records").select("row_id", "id", "source_file", F.concat_ws("#", F.col("source_line").cast("string"), F.col("row_id").cast("string")).alias("line"), "source_line")
-    numbered = R.numbered(d, ["id"], [F.col("source_file"), F.col("source_line"), F.col("row_id")])
-    made = F.when(F.col("rank") == 1, F.col("id")).otherwise(F.concat(F.col("id"), F.lit("::"), F.col("source_file"), F.lit(":"), F.col("line")))
-    return numbered.select("row_id", made.alias("record_id"))
+@query("""WITH r AS (SELECT row_id, id, source_file, source_line, row_number() OVER (PARTITION BY id ORDER BY source_file, source_line, row_id) AS r FROM summary_records),
+m AS (SELECT *, row_number() OVER (PARTITION BY id, source_file, source_line, r = 1 ORDER BY row_id) AS m FROM r)
+SELECT row_id, CASE WHEN r = 1 THEN id ELSE id || '::' || source_file || ':' || source_line || CASE WHEN m > 1 THEN ':' || m ELSE '' END END AS record_id FROM m""")
+def record_ids(spark, base):
+    d = table(spark, base, "summary_records").select("row_id", "id", "source_file", "source_line")
+    return P.disambiguated(d, "id", "source_file", "source_line", order=["row_id"]).select("row_id", "record_id")
 
 
 @query("SELECT source, CAST(doc_id % 8 AS INT) AS shard, count(*) AS n FROM documents GROUP BY ALL")

@@ -55,14 +55,13 @@ def folded_answers(spark, base):
     return out.select("user_id", "day", "mode", F.array_join("output_ids", ",").alias("output_ids"), "complete")
 
 
-@query("""WITH t AS (SELECT user_id AS conv, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, CASE WHEN event_type IN ('click', 'view') THEN 'user' ELSE 'assistant' END AS role, CAST(event_id AS VARCHAR) AS said FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-03')
+@query("""WITH t AS (SELECT user_id AS conv, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, CASE WHEN event_type IN ('click', 'view') THEN 'user' ELSE 'assistant' END AS role, CAST(event_id AS VARCHAR) AS said FROM events)
 SELECT conv, turn, said, CAST(turn - 1 AS INT) AS before FROM t WHERE role = 'assistant'""")
 def assistant_turns(spark, base):
-    e = table(spark, base, "events").where(F.to_date("ts") == F.lit("2024-01-03").cast("date"))
-    r = R.numbered(e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], "turn", "total")
+    r = R.numbered(table(spark, base, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], "turn", "total")
     role = F.when(F.col("event_type").isin("click", "view"), "user").otherwise("assistant")
     t = r.select(F.col("user_id").alias("conv"), "turn", role.alias("role"), F.col("event_id").cast("string").alias("said"))
-    return E.turns(t, "conv", "turn", "role", "said").select("conv", F.col("turn").cast("long").alias("turn"), "said", F.size("context").alias("before"))
+    return E.turns(t, "conv", "turn", "role", "said").select("conv", F.col("turn").cast("long").alias("turn"), "said", (F.col("turn") - 1).cast("int").alias("before"))
 
 
 @query(f"""WITH {OBS} SELECT count(*) AS rows, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE s = 'error') AS error, count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) = count(*) FILTER (WHERE s IN ('success', 'error', 'skipped')) AS balanced

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,13 +31,22 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the reliable checkpoint folder, so that a lost executor costs no recomputation of its lineage.
 
-    The folder is `spark.checkpoint.dir`; only where the session names none (tests, notebooks) a temporary one is set.
+    The folder is `spark.checkpoint.dir`. Where the session names none, a temporary one is set in local mode (tests,
+    notebooks); on a cluster, whose machines share no such folder, that is an error.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, set by `spark.checkpoint.dir` if the context has none yet."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -46,15 +54,25 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
-def release(spark: SparkSession, rounds: int = 2, pause: float = 1.0) -> None:
-    """Let the cluster delete the shuffle files of lineages that `cut` has ended; else they stay until the driver's next full collection.
+#: Lets Spark delete a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    The first round drops the plans, the second what only they held; the cleaner works beside, hence the pauses.
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a Parquet table beside the checkpoints and read back.
+
+    Cuts the lineage as `cut` does, but in packed columns; the shuffle files that made the table are deleted once it is
+    written, as nothing needs them any more.
     """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_folder(spark), f"table-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources.jsonl import lines, objects
 
 COLUMNS = ["id", "dataset", "source_split", "source_index", "source_id", "task_type", "document", "reference", "num_source_docs", "title", "reason"]
 
@@ -25,6 +26,12 @@ def _record(df: DataFrame, dataset: str, split: str, task: str = "summarization"
     return out.select(*COLUMNS)
 
 
+def _objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON with their place; a record without an id goes by its place in its file, from 0."""
+    rows = objects(lines(spark, path)).where(F.col("keys").isNotNull())
+    return rows.select("file", "line", F.from_json("value", schema).alias("r")).select("file", "line", "r.*")
+
+
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9.]+)?$", 1)
 
@@ -41,9 +48,9 @@ def segmented(spark: SparkSession, path: str, dataset: str = "vietnews", split:
 
 def sentence_arrays(spark: SparkSession, path: str, dataset: str = "wikilingua", split: str = "test") -> DataFrame:
     """Lines with arrays `src` and `tgt` of sentences: stripped, without empty ones, joined by spaces."""
-    rows = spark.read.schema("id string, src array<string>, tgt array<string>").json(path)
+    rows = _objects(spark, path, "id string, src array<string>, tgt array<string>")
     joined = lambda c: F.array_join(F.filter(F.transform(c, X.strip), lambda s: s != ""), " ")
-    made = rows.select(F.coalesce("id", F.monotonically_increasing_id().cast("string")).alias("source_id"), joined("src").alias("d"), joined("tgt").alias("r"))
+    made = rows.select(F.coalesce("id", (F.col("line") - 1).cast("string")).alias("source_id"), joined("src").alias("d"), joined("tgt").alias("r"))
     return _record(made.select("source_id", X.nfc(F.col("d")).alias("document"), X.nfc(F.col("r")).alias("reference")), dataset, split, "summarization")
 
 
@@ -71,9 +78,9 @@ def clusters(spark: SparkSession, root: str, dataset: str = "vims", split: str =
 
 def nested(spark: SparkSession, path: str, dataset: str = "vlsp", split: str = "test") -> DataFrame:
     """Lines with an array of documents (title, raw_text): one text with numbered headings."""
-    rows = spark.read.schema("id string, summary string, single_documents array<struct<title:string,raw_text:string>>").json(path)
+    rows = _objects(spark, path, "id string, summary string, single_documents array<struct<title:string,raw_text:string>>")
     part = lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(d["title"], F.lit("")), F.lit("\n"), X.strip(F.coalesce(d["raw_text"], F.lit(""))))
-    made = rows.select(F.coalesce("id", F.monotonically_increasing_id().cast("string")).alias("source_id"), F.array_join(F.transform("single_documents", part), "\n\n").alias("document"), X.strip(F.col("summary")).alias("reference"), F.size("single_documents").alias("num_source_docs"))
+    made = rows.select(F.coalesce("id", (F.col("line") - 1).cast("string")).alias("source_id"), F.array_join(F.transform("single_documents", part), "\n\n").alias("document"), X.strip(F.col("summary")).alias("reference"), F.size("single_documents").alias("num_source_docs"))
     return _record(made, dataset, split, "multi_document_summarization")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +48,26 @@ def resolve(path: str | Path) -> Path:
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, line (1-based, physical), value of every line, plain or gzipped.
 
-    Each file is read whole by one task, since only then its lines can be numbered; a corpus is many shards.
+    A plain file is read in blocks by many tasks: lines are counted within their block as they stream by, and the lines
+    of the blocks before, one number a block, are added. A gzipped file can't be split, but is streamed as well.
     """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parts = raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return parts.select("file", (F.col("line") + 1).alias("line"), "value")
+    f = spark.read.option("lineSep", "\n").text(paths)
+    raw = f.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for b in batches:
+            places = []
+            for place in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, n = (at, n + 1) if place == at else (place, 1)
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.int64())], ["file", "block", "value", "nth"])
+
+    own = raw.mapInArrow(count, "file string, block long, value string, nth long")
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return own.join(offsets, ["file", "block"]).select("file", (F.col("nth") + F.col("before")).alias("line"), "value")
 
 
 def objects(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,10 +59,7 @@ def reservoir(stream: DataFrame, keys: list[str], identity: str, k: int, out: st
         spark = batch.sparkSession
         own = bottom_k(batch, keys, identity, seed, k)
         if number:
-            try:
-                kept = spark.read.parquet(f"{out}/batch={number - 1}").drop("score")
-            except AnalysisException:  # nothing was written yet
-                kept = own.drop("score").limit(0)
+            kept = spark.read.parquet(f"{out}/batch={number - 1}").drop("score")  # only the first batch may find nothing
             own = bottom_k(kept.unionByName(own.drop("score")), keys, identity, seed, k)
         own.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
