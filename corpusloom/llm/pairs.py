@@ -91,7 +91,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|```[A-Za-z]*|[*_#`~|]+")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _LIST_MARK = re.compile(r"(?:^|\n)\s*(?:\d{1,2}[.)]|[-*•+])\s*$")
-_QUESTION = re.compile(r"[^\n.!?]*(?:[.!](?!\s)[^\n.!?]*)*\?")
+_QUESTION_ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n")
+_INVISIBLE = re.compile("[" + "".join(map(chr, (c for c in range(0x20000) if unicodedata.category(chr(c)) == "Cf"))) + "]")
 _DOTS = re.compile(r"\s*(?:…|\.{3,})[\"'”’»)\]}*`_]*$")
 _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]}*`_]*$")
 
@@ -204,11 +205,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", text).lower())
 
 
+class _Bare(dict):
+    """Code point -> what `bare_words` makes of it, with spaces around characters that are words; filled as it is asked."""
+
+    def __missing__(self, cp: int) -> str:
+        to = int(_bare_table()[cp])
+        self[cp] = made = "" if to == 0 else f" {chr(to)} " if _alone()[to] else chr(to)
+        return made
+
+
+_BARE = _Bare()
+
+
 def bare(text: str) -> list[str]:
-    """Lower-case words without accents and look-alike letters."""
-    w = bare_words([text])
-    flat = w.codes.tobytes().decode("utf-32-le", "surrogatepass")
-    return [flat[a:b] for a, b in zip(w.start.tolist(), w.stop.tolist(), strict=True)]
+    """Lower-case words without accents and look-alike letters: `bare_words` of one short text."""
+    return text.translate(_BARE).split()
 
 
 _REFUSALS = [bare(t) for t in REFUSALS.strip().split("\n")]
@@ -278,7 +289,9 @@ def copied(prompt: str, text: list[str], answer: list[str]) -> bool:
     if len(answer) < 3:
         return False
     if "?" in prompt:
-        for q in _QUESTION.findall(prompt):
+        for q in _QUESTION_ENDS.split(prompt):
+            if not q.endswith("?"):
+                continue
             for form in (q, q.split(":", 1)[-1]) if ":" in q else (q,):
                 asked = bare(form)
                 if len(asked) >= 3 and len(answer) <= 1.6 * len(asked) + 3 and lcs(asked, answer) >= 0.9 * len(asked):
@@ -333,7 +346,7 @@ def foreign(w: Words, known: np.ndarray) -> np.ndarray:
 
 def broken(response: str) -> tuple[bool | None, str, str]:
     """(broken off or not or None if only its last words can tell, the last two words)."""
-    shown = "".join(c for c in response if unicodedata.category(c) != "Cf").rstrip()
+    shown = _INVISIBLE.sub("", response).rstrip()
     if _LIST_MARK.search(shown) and "\n" in shown:
         return True, "", ""
     body = re.sub(r"(?m)(^|\s)\(?[0-9a-zA-Z]{1,2}\)", " ", shown)
