@@ -30,49 +30,59 @@ def counter(x: Column) -> Column:
     return F.when((d >= 0) & (d < 9.2e18) & (d == F.floor(d)), d.cast("long"))
 
 
-def linear(x: Column, p: float) -> Column:
-    return F.percentile(number(x), F.lit(p))
-
-
-def nearest_rank(name: str, p: float) -> Column:
-    """The element at ceil(p n) of a column's sorted numbers."""
-    x = f"CAST(`{name}` AS DOUBLE)"
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan({x}) THEN {x} END)")
-
-
-def summary(name: str, digits: int = 4) -> list[Column]:
-    """mean, median, nearest-rank p90 and population deviation of a column, rounded; names carry the column's."""
-    x = number(F.col(name))
-    return [
-        F.round(F.avg(x), digits).alias(f"{name}_mean"),
-        F.round(F.percentile(x, F.lit(0.5)), digits).alias(f"{name}_median"),
-        F.round(nearest_rank(name, 0.9), digits).alias(f"{name}_p90"),
-        F.round(F.stddev_pop(x), digits).alias(f"{name}_std"),
-    ]
-
-
-def profile(name: str) -> list[Column]:
-    """count, min, linear percentiles, mean, max of a column."""
-    x = number(F.col(name))
-    return [
-        F.count(x).alias("count"),
-        F.min(x).alias("min"),
-        *[F.round(F.percentile(x, F.lit(p)), 4).alias(k) for k, p in PROFILE.items()],
-        F.round(F.avg(x), 4).alias("mean"),
-        F.max(x).alias("max"),
-    ]
-
-
-def quartiles(name: str, digits: int = 2) -> list[Column]:
-    """min, p10, p25, median, mean, p75, p90, max, rounded: the profile of teacher reports."""
-    x = number(F.col(name))
+def percentiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, float], nearest: dict[str, float] | None = None) -> DataFrame:
+    """keys, the named percentiles of a column (linear, or nearest-rank), and mean, std (population), min, max, count of it.
+
+    Exact, from the counts of distinct values: these are pre-aggregated, and a group's ranks are running sums over its
+    distinct values, which spill; no state holds a group. Nulls and NaN do not count; a group without numbers is not there.
+    """
+    x = number(F.col(value))
+    counts = df.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v"))).withColumn("_total", F.sum("_n").over(w))
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    made, parts = [], []
+    for name, p in linear.items():
+        place = (F.col("_total") - 1) * F.lit(p)
+        parts += [at(F.floor(place) + 1).alias(f"_lo_{name}"), at(F.ceil(place) + 1).alias(f"_hi_{name}")]
+        h = (F.col("count") - 1) * F.lit(p)
+        made.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (h - F.floor(h))).alias(name))
+    for name, p in (nearest or {}).items():
+        parts.append(at(F.greatest(F.ceil(F.col("_total") * F.lit(p) - 1e-9), F.lit(1))).alias(name))
+        made.append(F.col(name))
+    n, v = F.col("_n"), F.col("_v")
+    mean = F.sum(v * n) / F.sum("_n")
+    spread = F.sqrt(F.sum(F.pow(v - F.col("_mean"), 2) * n) / F.sum("_n"))
+    centred = ranked.withColumn("_mean", F.sum(v * n).over(w) / F.col("_total"))
+    g = centred.groupBy(*keys).agg(F.sum("_n").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), spread.alias("std"), *parts)
+    return g.select(*keys, "count", "min", "max", "mean", "std", *made)
+
+
+def summary(df: DataFrame, keys: list[str], names: list[str], digits: int = 4) -> DataFrame:
+    """keys and mean, median, nearest-rank p90 and population deviation of each column, rounded; names carry the column's.
+
+    A column without numbers in a group has nulls.
+    """
+    out = df.select(*keys).distinct()
+    for name in names:
+        p = percentiles(df, keys, name, {"median": 0.5}, {"p90": 0.9})
+        p = p.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.round(c, digits).alias(f"{name}_{c}") for c in ("mean", "median", "p90", "std")])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        out = out.join(p, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return out
+
+
+def profile(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, count, min, linear percentiles, mean, max of a column."""
+    p = percentiles(df, keys, name, PROFILE)
+    return p.select(*keys, "count", "min", *[F.round(k, 4).alias(k) for k in PROFILE], F.round("mean", 4).alias("mean"), "max")
+
+
+def quartiles(df: DataFrame, keys: list[str], name: str, digits: int = 2) -> DataFrame:
+    """keys, min, p10, p25, median, mean, p75, p90, max, rounded: the profile of teacher reports."""
     marks = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    return [
-        F.round(F.min(x), digits).alias("min"),
-        *[F.round(F.percentile(x, F.lit(p)), digits).alias(k) for k, p in marks.items()],
-        F.round(F.avg(x), digits).alias("mean"),
-        F.round(F.max(x), digits).alias("max"),
-    ]
+    p = percentiles(df, keys, name, marks)
+    return p.select(*keys, *[F.round(c, digits).alias(c) for c in ("min", *marks, "mean", "max")])
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:

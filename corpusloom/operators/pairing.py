@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,40 +112,10 @@ def ratios(pairs: DataFrame, keys: list[str], time: str = "e2e_ms", tokens: str
     )
 
 
-def bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, identity: str, seed: int = 20260928, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """keys, n, ratio, low, high: percentile interval of sum(a) / sum(b), resampling pairs in the order of their id.
-
-    The draws are those of Python's generator, one after another, so a group is one task: for benchmark runs of
-    bounded size. Pairs without two finite positive numbers do not count; a group without any has nulls.
-    """
-    import math
-
-    types = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(identity)
-        clean = [(x, y) for x, y in zip(pdf[a].astype(float), pdf[b].astype(float), strict=True) if math.isfinite(x) and math.isfinite(y) and x > 0 and y > 0]
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(clean), "ratio": None, "low": None, "high": None}
-        if clean:
-            draw = random.Random(seed).randrange
-            made = []
-            for _ in range(resamples):
-                picks = [clean[draw(len(clean))] for _ in clean]
-                made.append(sum(x for x, _ in picks) / sum(y for _, y in picks))
-            made.sort()
-            alpha = (1 - confidence) / 2
-            row["ratio"] = sum(x for x, _ in clean) / sum(y for _, y in clean)
-            row["low"] = made[max(0, min(resamples - 1, math.floor(alpha * resamples)))]
-            row["high"] = made[max(0, min(resamples - 1, math.ceil((1 - alpha) * resamples) - 1))]
-        return pd.DataFrame([row])
-
-    return pairs.select(*keys, identity, a, b).groupBy(*keys).applyInPandas(of, f"{types}, n long, ratio double, low double, high double")
-
-
 def spread_bootstrap(pairs: DataFrame, keys: list[str], a: str, b: str, identity: str, seed: int = 1, resamples: int = 200, confidence: float = 0.95) -> DataFrame:
     """keys, n, ratio, low, high for groups of any size: each pair draws a Poisson(1) weight per resample from its hash.
 
-    Another stream of draws than `bootstrap`; sums are pre-aggregated, a group is never gathered.
+    Another stream of draws than `reports.interval`; sums are pre-aggregated, a group is never gathered.
     """
     u = (F.pmod(F.xxhash64(F.col(identity), F.col("r"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
     bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]

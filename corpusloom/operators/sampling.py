@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.stats import percentiles
 from corpusloom.functions.text import hash_score
 from corpusloom.operators.ranking import numbered, top
 from corpusloom.session import cut
@@ -33,13 +34,16 @@ def length_label(x: Column) -> Column:
 
 def clipped(df: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose value lies between two linear percentiles of their group, bounds included. The bounds, one row a group, are joined."""
-    bounds = df.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("_low"), F.percentile(value, F.lit(high)).alias("_high"))
+    bounds = percentiles(df, keys, value, {"_low": low, "_high": high}).select(*keys, "_low", "_high")
     return df.join(bounds, keys).where(F.col(value).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def edges(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """keys, edges: the bins - 1 inner quantile edges of each group."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    marks = {f"_e{i}": i / bins for i in range(1, bins)}
+    if not marks:
+        return df.select(*keys, F.array().cast("array<double>").alias("edges")).distinct()
+    return percentiles(df, keys, value, marks).select(*keys, F.array(*marks).alias("edges"))
 
 
 def quantile_bin(df: DataFrame, keys: list[str], value: str, bins: int, name: str = "bin") -> DataFrame:
@@ -94,6 +98,23 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[Column], picks: Co
     return r.where(taken).drop("_rank", "_total", "_k")
 
 
+def stratified(df: DataFrame, keys: list[str], value: str, order: list[Column], samples: int, bins: int = 5, clip: tuple[float, float] = (0.01, 0.99), least: int = 10, name: str = "length_bin") -> DataFrame:
+    """`samples` rows of each group whose lengths stand for it: clip, bin, allocate, pick.
+
+    Rows outside the two linear percentiles of `clip` are left out; the rest is cut into quantile bins (as many as
+    there are samples, if these are fewer); slots go to the bins, empty ones included, by largest remainder of their
+    sizes over `least` each; a bin gives rows at even distances by `order` (length first, then what tells rows apart),
+    all it has if its slots are more.
+    """
+    bins = max(1, min(bins, samples))
+    binned = quantile_bin(clipped(df, keys, value, *clip), keys, value, bins, name)
+    counts = binned.groupBy(*keys, name).agg(F.count("*").alias("_n"))
+    every = counts.select(*keys).distinct().withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    weights = every.join(counts, [*keys, name], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    slots = allocate(weights, keys, name, "_n", samples, least).select(*keys, name, F.least("slots", "_n").alias("_slots"))
+    return evenly_spaced(binned.join(slots, [*keys, name]), [*keys, name], order, F.col("_slots")).drop("_slots")
+
+
 def at_quantiles(df: DataFrame, keys: list[str], order: list[Column], quantiles: list[float], name: str = "quantile") -> DataFrame:
     """The rows at index round-half-even(q (n - 1)) of each group, one per different position."""
     r = numbered(df, keys, order, "_rank", "_total")

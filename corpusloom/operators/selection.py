@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,26 +79,6 @@ def complete_gate(df: DataFrame, keys: list[str], methods: int, samples: int) ->
     return g.select(*keys, "rows", (F.col("rows") == methods * samples).alias("complete"), "all_success")
 
 
-def stratified_geomean(pairs: DataFrame, keys: list[str], stratum: str, a: str, b: str, identity: str, seed: int = 20260928, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """keys, strata, geomean, low, high: interval of the geometric mean of the strata's ratios, each resampled in itself.
-
-    Draws follow one another, stratum by stratum in their order, so a key is one task: for benchmark runs of bounded size.
-    """
-    types = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [list(zip(g.sort_values(identity)[a], g.sort_values(identity)[b], strict=True)) for _, g in pdf.groupby(stratum, sort=True)]
-        draw = random.Random(seed).randrange
-        mean = lambda samples: math.exp(sum(math.log(sum(x for x, _ in s) / sum(y for _, y in s)) for s in samples) / len(samples))
-        made = sorted(mean([[g[draw(len(g))] for _ in g] for g in groups]) for _ in range(resamples))
-        tail = (1 - confidence) / 2
-        at = lambda q: made[int(q * (resamples - 1))]
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"strata": len(groups), "geomean": mean(groups), "low": at(tail), "high": at(1 - tail)}])
-
-    good = pairs.where((F.col(a) > 0) & (F.col(b) > 0)).select(*keys, stratum, identity, a, b)
-    return good.groupBy(*keys).applyInPandas(of, f"{types}, strata long, geomean double, low double, high double")
-
-
 def example(prefix: Column, document: Column, suffix: Column, summary: Column, budget: int) -> Column:
     """(ids, mask, kept): a training example of token arrays within `budget`.
 

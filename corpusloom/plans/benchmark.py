@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import stats as S
 from corpusloom.operators import pairing as J
 from corpusloom.operators import ranking as R
-from corpusloom.operators import sampling as P
 from corpusloom.operators import validation as V
 from corpusloom.plans.registry import registrar
 from corpusloom.plans.relations import METHODS, OBS, observations
+from corpusloom.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,7 +24,7 @@ _STATS = "round(avg({x}), 4) AS {x}_mean, round(quantile_cont({x}, 0.5), 4) AS {
 
 @query(f"WITH {OBS} SELECT method, dataset, {_STATS.format(x='e2e_ms')}, {_STATS.format(x='decode_ms')} FROM obs WHERE status = 'success' GROUP BY ALL")
 def speed_stats(spark, base):
-    return observations(spark, base).where("status = 'success'").groupBy("method", "dataset").agg(*S.summary("e2e_ms"), *S.summary("decode_ms"))
+    return S.summary(observations(spark, base).where("status = 'success'"), ["method", "dataset"], ["e2e_ms", "decode_ms"])
 
 
 @query(f"""WITH {OBS}, x AS (SELECT *, CASE WHEN output_tokens <= 10 THEN 'short' WHEN output_tokens <= 30 THEN 'middle' ELSE 'long' END AS bin FROM obs WHERE status = 'success')
@@ -106,12 +106,12 @@ def user_speedup(spark, base):
     return g.select("dataset", "method", "pairs", F.round(n, 4).alias("mean_min_tokens"), F.round(a / b, 4).alias("dsr"), F.round((p_ + n * a) / (p_ + n * b), 4).alias("esr"))
 
 
-@query(f"""WITH {_PAIRED}, v AS (SELECT * FROM p WHERE reason IS NULL AND method <= 4), s AS (SELECT dataset, sample_id FROM v GROUP BY ALL HAVING count(DISTINCT method) = 3),
+@query(f"""WITH {_PAIRED}, v AS (SELECT * FROM p WHERE reason IS NULL), s AS (SELECT dataset, sample_id FROM v GROUP BY ALL HAVING count(DISTINCT method) = {METHODS - 1}),
 d AS (SELECT method, dataset, sum(re) / sum(me) AS x, count(*) AS n FROM v SEMI JOIN s USING (dataset, sample_id) GROUP BY ALL)
 SELECT method, count(*) AS datasets, CAST(sum(n) AS BIGINT) AS samples, round(exp(avg(ln(x))), 4) AS geomean FROM d GROUP BY method""")
 def shared_set_geomean(spark, base):
-    v = _pairs(spark, base).where("reason IS NULL AND method <= 4")
-    kept = v.join(J.shared(v, ["dataset"], "sample_id", "method", 3), ["dataset", "sample_id"], "left_semi")
+    v = cut(_pairs(spark, base).where("reason IS NULL").select("method", "dataset", "sample_id", F.struct("ref.e2e_ms").alias("ref"), F.struct("met.e2e_ms").alias("met")))
+    kept = v.join(J.shared(v, ["dataset"], "sample_id", "method", METHODS - 1), ["dataset", "sample_id"], "left_semi")
     d = kept.groupBy("method", "dataset").agg(S.ratio_of_sums(F.col("ref.e2e_ms"), F.col("met.e2e_ms")).alias("x"), F.count("*").alias("n"))
     return d.groupBy("method").agg(F.count("*").alias("datasets"), F.sum("n").alias("samples"), F.round(S.geomean(F.col("x")), 4).alias("geomean"))
 
@@ -137,13 +137,13 @@ def coverage_diff(spark, base):
     return J.coverage(o.where("method = 1"), o.where("method = 2"), ["dataset", "sample_id"])
 
 
-@query(f"""WITH {OBS}, s AS (SELECT DISTINCT dataset, sample_id FROM obs), g AS (SELECT * FROM s, (SELECT unnest(range(1, 4))::INT AS method)), b AS (SELECT *, row_number() OVER (PARTITION BY dataset, sample_id, method ORDER BY status <> 'success', ended, e2e_ms, part) AS nth FROM obs)
+@query(f"""WITH {OBS}, s AS (SELECT DISTINCT dataset, sample_id FROM obs), g AS (SELECT * FROM s, (SELECT unnest(range(1, {METHODS + 1}))::INT AS method)), b AS (SELECT *, row_number() OVER (PARTITION BY dataset, sample_id, method ORDER BY status <> 'success', ended, e2e_ms, part) AS nth FROM obs)
 SELECT g.dataset, g.sample_id, g.method, coalesce(b.status, 'failed') AS status, b.e2e_ms, CASE WHEN b.status IS NULL THEN 'missing_output' END AS error FROM g LEFT JOIN b ON g.dataset = b.dataset AND g.sample_id = b.sample_id AND g.method = b.method AND nth = 1""")
 def fill_missing(spark, base):
     o = observations(spark, base)
     keys = ["dataset", "sample_id", "method"]
-    expected = o.select("dataset", "sample_id").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m in (1, 2, 3)])))
-    rows = o.where("method <= 3").select(*keys, "status", "e2e_ms", "ended", "part", F.lit(True).alias("_there"))
+    expected = o.select("dataset", "sample_id").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m in range(1, METHODS + 1)])))
+    rows = o.select(*keys, "status", "e2e_ms", "ended", "part", F.lit(True).alias("_there"))
     return J.filled(expected, rows, keys, [F.col("ended"), F.col("e2e_ms"), F.col("part")]).select(*keys, "status", "e2e_ms", "error")
 
 
@@ -210,10 +210,10 @@ def metric_pivot(spark, base):
     return wide.fillna(0, [c for c in wide.columns if c.endswith("_n")])
 
 
-@query(f"""WITH {OBS}, c AS (SELECT run, map_from_entries(list((status, n))) AS m FROM (SELECT run, status, count(*) AS n FROM obs WHERE method <= 3 GROUP BY ALL) GROUP BY run)
+@query(f"""WITH {OBS}, c AS (SELECT run, map_from_entries(list((status, n))) AS m FROM (SELECT run, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY run)
 SELECT CAST(greatest(max(m['success']), 0) AS BIGINT) AS success, CAST(max(m['failed']) AS BIGINT) AS failed FROM c""")
 def counter_maximum(spark, base):
-    c = observations(spark, base).where("method <= 3").groupBy("run", "status").agg(F.count("*").alias("n"))
+    c = observations(spark, base).groupBy("run", "status").agg(F.count("*").alias("n"))
     m = c.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("m"))
     merged = m.agg(F.reduce(F.collect_list("m"), F.create_map().cast("map<string,bigint>"), S.larger_counts).alias("m"))
     return merged.select(F.col("m")["success"].alias("success"), F.col("m")["failed"].alias("failed"))
@@ -269,12 +269,5 @@ def anchor_drift(spark, base):
 
 @query()
 def bootstrap_ci(spark, base):
-    p = _pairs(spark, base).where("reason IS NULL AND method <= 3").select("dataset", "method", "sample_id", F.col("ref.e2e_ms").alias("a"), F.col("met.e2e_ms").alias("b"))
-    return J.spread_bootstrap(p, ["dataset", "method"], "a", "b", "sample_id").select("dataset", "method", "n", *[F.round(c, 6).alias(c) for c in ("ratio", "low", "high")])
-
-
-@query()
-def exact_bootstrap_ci(spark, base):
-    p = _pairs(spark, base).where("reason IS NULL").select("method", "dataset", "sample_id", F.col("ref.e2e_ms").alias("a"), F.col("met.e2e_ms").alias("b"))
-    few = P.evenly_spaced(p, ["dataset", "method"], [F.col("sample_id")], 50)
-    return J.bootstrap(few, ["dataset", "method"], "a", "b", "sample_id", resamples=1000)
+    p = _pairs(spark, base).where("reason IS NULL").select("dataset", "method", "sample_id", F.col("ref.e2e_ms").alias("a"), F.col("met.e2e_ms").alias("b"))
+    return J.spread_bootstrap(p, ["dataset", "method"], "a", "b", "sample_id", resamples=1000).select("dataset", "method", "n", *[F.round(c, 6).alias(c) for c in ("ratio", "low", "high")])

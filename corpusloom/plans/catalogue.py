@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import benchmark, corpus, scoring, stateful
+from corpusloom.plans import benchmark, corpus, reports, scoring, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (corpus, scoring, benchmark, stateful):
+for _module in (corpus, scoring, benchmark, reports, stateful):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

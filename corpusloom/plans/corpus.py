@@ -26,12 +26,12 @@ _PROFILE = "count(w) AS count, CAST(min(w) AS DOUBLE) AS min, " + ", ".join(f"ro
 
 @query(f"WITH {DOCS}, x AS (SELECT dataset, CAST(words AS DOUBLE) AS w FROM docs) SELECT dataset, {_PROFILE} FROM x GROUP BY dataset")
 def length_profile(spark, base):
-    return documents(spark, base).groupBy("dataset").agg(*S.profile("words"))
+    return S.profile(documents(spark, base), ["dataset"], "words")
 
 
 @query(f"WITH x AS (SELECT dataset, source_split, CAST(document_words AS DOUBLE) AS w FROM corpus_records WHERE document_words > 0) SELECT dataset, source_split, {_PROFILE} FROM x GROUP BY ALL")
 def corpus_length_profile(spark, base):
-    return corpus(spark, base).groupBy("dataset", "source_split").agg(*S.profile("document_words"))
+    return S.profile(corpus(spark, base), ["dataset", "source_split"], "document_words")
 
 
 @query("""WITH x AS (SELECT dataset, document_words AS w, row_number() OVER (PARTITION BY dataset ORDER BY document_words) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM corpus_records WHERE document_words > 0)
@@ -43,7 +43,7 @@ def upper_median_profile(spark, base):
 @query("""SELECT dataset, round(min(w), 2) AS min, round(quantile_cont(w, 0.1), 2) AS p10, round(quantile_cont(w, 0.25), 2) AS p25, round(quantile_cont(w, 0.5), 2) AS median, round(avg(w), 2) AS mean,
 round(quantile_cont(w, 0.75), 2) AS p75, round(quantile_cont(w, 0.9), 2) AS p90, round(max(w), 2) AS max FROM (SELECT dataset, CAST(reference_words AS DOUBLE) AS w FROM corpus_records) GROUP BY dataset""")
 def quartile_profile(spark, base):
-    return table(spark, base, "corpus_records").groupBy("dataset").agg(*S.quartiles("reference_words"))
+    return S.quartiles(table(spark, base, "corpus_records"), ["dataset"], "reference_words")
 
 
 @query(f"""WITH {DOCS} SELECT doc_id, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'missing:text' END, CASE WHEN lang IS NULL THEN 'missing:lang' END], lambda p: p IS NOT NULL)
@@ -181,6 +181,22 @@ def record_ids(spark, base):
     return P.disambiguated(d, "id", "source_file", "source_line", order=["row_id"]).select("row_id", "record_id")
 
 
+@query("""WITH x AS (SELECT id, dataset, document_words AS w, ingested_at FROM corpus_records WHERE document_words > 0), b AS (SELECT dataset, quantile_cont(w, 0.01) AS lo, quantile_cont(w, 0.99) AS hi FROM x GROUP BY dataset),
+c AS (SELECT x.* FROM x JOIN b USING (dataset) WHERE w BETWEEN lo AND hi), e AS (SELECT dataset, quantile_cont(w, [0.2, 0.4, 0.6, 0.8]) AS e FROM c GROUP BY dataset),
+q AS (SELECT c.*, CAST(len(list_filter(e, lambda v: v < w)) AS INT) AS length_bin FROM c JOIN e USING (dataset)),
+g AS (SELECT dataset, CAST(i AS INT) AS length_bin, (SELECT count(*) FROM q WHERE q.dataset = e.dataset AND q.length_bin = i) AS n FROM e, range(5) t(i)),
+f AS (SELECT *, (100 - 50) * CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY dataset) AS exact FROM g), y AS (SELECT *, floor(exact) AS b FROM f),
+z AS (SELECT *, 100 - sum(10 + b) OVER (PARTITION BY dataset) AS rest, row_number() OVER (PARTITION BY dataset ORDER BY exact - b DESC, length_bin) AS nth FROM y),
+s AS (SELECT dataset, length_bin, n, least(CAST(10 + b + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS BIGINT), n) AS k FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, length_bin ORDER BY w, id, ingested_at) - 1 AS r FROM q)
+SELECT r.dataset, r.length_bin, r.id, r.w AS document_words FROM r JOIN s USING (dataset, length_bin)
+WHERE n <= k OR (k = 1 AND r = n // 2) OR (k > 1 AND list_contains(list_transform(range(k), lambda i: round_even(CAST(i AS DOUBLE) * (n - 1) / (k - 1), 0)), r))""")
+def stratified_pipeline(spark, base):
+    d = corpus(spark, base).select("id", "dataset", "document_words", "ingested_at")
+    picked = P.stratified(d, ["dataset"], "document_words", [F.col("document_words"), F.col("id"), F.col("ingested_at")], 100)
+    return picked.select("dataset", "length_bin", "id", "document_words")
+
+
 @query("SELECT source, CAST(doc_id % 8 AS INT) AS shard, count(*) AS n FROM documents GROUP BY ALL")
 def round_robin_shards(spark, base):
     return documents(spark, base).groupBy("source", P.shard(F.col("doc_id"), 8).alias("shard")).agg(F.count("*").alias("n"))
@@ -231,7 +247,7 @@ def compression_ratio(spark, base):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.round(r, 4)), 4).alias("mean_compression"), F.round(F.min(r), 4).alias("least"), F.round(F.max(r), 4).alias("most"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN coalesce(text, '') = (SELECT coalesce(text, '') FROM documents ORDER BY doc_id LIMIT 1) THEN 'eval' ELSE 'train' END AS split FROM documents""")
 def nonempty_split(spark, base):
     d = documents(spark, base).select("doc_id", "text").withColumn("split", P.split_of(F.coalesce("text", F.lit("")), 42, 0.0))
     return P.non_empty_split(d.withColumn("text", F.coalesce("text", F.lit(""))), "text", ["doc_id"]).select("doc_id", "split")

@@ -65,14 +65,16 @@ def rouge_n_pairs(spark, base):
     return p.select("row_id", F.round(X.rouge_f(h, r, 1, s), 4).alias("rouge1_f"), F.round(X.rouge_f(h, r, 2, s), 4).alias("rouge2_f"))
 
 
-_BLEU = ", ".join(f"ln(greatest(CASE WHEN len(h) >= {n} THEN {_SHARED.format(h=grams('h', n), r=grams('r', n))} / (len(h) - {n - 1}) ELSE 0 END, 1e-9)) AS p{n}" for n in (1, 2))
+_BLEU = ", ".join(f"ln(greatest(CASE WHEN len(h) >= {n} THEN {_SHARED.format(h=grams('h', n), r=grams('r', n))} / (len(h) - {n - 1}) ELSE 0 END, 1e-9)) AS p{n}" for n in (1, 2, 3, 4))
 
 
-@query(f"""WITH {_PAIRS}, q AS (SELECT row_id, len(h) AS a, len(r) AS b, {_BLEU} FROM p)
-SELECT row_id, CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(p1), 4) ELSE 0 END AS bleu1, CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp((p1 + p2) / 2), 4) ELSE 0 END AS bleu2 FROM q""")
+_BLEU_OF = ", ".join(f"CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(({' + '.join(f'p{i}' for i in range(1, n + 1))}) / {n}), 4) ELSE 0 END AS bleu{n}" for n in (1, 2, 3, 4))
+
+
+@query(f"WITH {_PAIRS}, q AS (SELECT row_id, len(h) AS a, len(r) AS b, {_BLEU} FROM p) SELECT row_id, {_BLEU_OF} FROM q")
 def bleu_pairs(spark, base):
-    b = X.bleu(F.col("h"), F.col("r"), 2, F.col("s"))
-    return _pairs(spark, base).withColumn("s", X.shared_ngrams(F.col("h"), F.col("r"))).select("row_id", b["bleu1"].alias("bleu1"), b["bleu2"].alias("bleu2"))
+    b = X.bleu(F.col("h"), F.col("r"), 4, F.col("s"))
+    return _pairs(spark, base).withColumn("s", X.shared_ngrams(F.col("h"), F.col("r"))).select("row_id", *[b[f"bleu{n}"].alias(f"bleu{n}") for n in (1, 2, 3, 4)])
 
 
 @query(f"""WITH {_PAIRS}, x AS (SELECT source, {_rouge_sql(1)} AS f1, {_rouge_sql(2)} AS f2, len(h) AS a, len(r) AS b FROM p WHERE len(h) > 0 AND len(r) > 0)
