@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.viet import ACCENTED, LETTERS, LOOKS, TONES, syllable
+from corpusloom.llm.viet import ACCENTED, LETTERS, LOOKS, TONES, beginning, syllable
 from corpusloom.session import cut
 
 #: Hypotheses that alignments may confirm: UTF-8 bytes read as one of these; a second name means read wrongly twice.
@@ -169,30 +169,34 @@ class Mapping:
         if (got := self.by_chain(word)) is not None:
             return got
         core = word.strip("\"'!()*,-./:;<>?[]{}")
-        if not core or len(core) > 24:
-            return None
-        for option in self._options(core):
-            if option != core and len(option) > 1 and _clean(option):
-                return word.replace(core, option, 1)
-        return None
-
-    def _options(self, core: str, most: int = 256) -> Iterator[str]:
-        """Readings of `core` by units, fewest characters kept first; letters of ordinary text may stay."""
-        states: list[tuple[int, str]] = [(0, "")]
-        made = 0
-        while states and made < most:
-            at, text = states.pop()
+        got = self._reading(core)
+        return word.replace(core, got, 1) if got else None
+
+    def _reading(self, core: str) -> str | None:
+        """The reading of `core` by units that is well-formed; letters of ordinary text may stay.
+
+        The longest units and their most voted letters come first, characters that stay last. Only readings whose last part a syllable may begin with are followed, and each such end at a place once, so a
+        word of any length is read in full.
+        """
+        states, seen = [(0, "", "")], set()
+        while states:
+            at, text, last = states.pop()
             if at == len(core):
-                made += 1
-                yield text
+                if text != core and len(text) > 1 and _clean(text):
+                    return text
                 continue
-            if core[at].isascii() or core[at] in LETTERS:
-                states.append((at + 1, text + core[at]))
-            for n in range(1, min(self.longest, len(core) - at) + 1):
-                for letter in self.units.get(core[at : at + n], ()):
-                    states.append((at + n, text + letter))
-            if len(states) > 4 * most:
-                return
+            options = [(1, core[at])] if core[at].isascii() or core[at] in LETTERS else []
+            options += [(n, letter) for n in range(1, min(self.longest, len(core) - at) + 1) for letter in reversed(self.units.get(core[at : at + n], ()))]
+            for n, letter in options:
+                gap = letter.isascii() and not letter.isalpha()
+                if letter.isdigit() or gap and last and not syllable(last) or not gap and not beginning(last + letter):
+                    continue
+                made = text + letter
+                state = (at + n, "" if gap else last + letter, made.isascii(), made == core[: at + n])
+                if state not in seen:
+                    seen.add(state)
+                    states.append((at + n, made, state[1]))
+        return None
 
 
 def _clean(text: str) -> bool:
@@ -249,7 +253,7 @@ def votes(pairs: DataFrame) -> DataFrame:
         count: Counter[tuple[str, str]] = Counter()
         for f in frames:
             for g, c in zip(f["garbled_sentence"], f["sentence"], strict=True):
-                count.update(p for p in align(g, c) if len(p[0]) <= 24 and len(p[1]) <= 3)
+                count.update(align(g, c))
             if len(count) > 100_000:
                 yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["run", "letters", "n"])
                 count.clear()
@@ -325,8 +329,8 @@ def ill_words(found: DataFrame) -> DataFrame:
         held: set[str] = set()
         for f in frames:
             for s in f["sentence"]:
-                held.update(w for w in suspects(s) if len(w) <= 32)
-            if len(held) > 200_000:
+                held.update(suspects(s))
+            if len(held) > 200_000 or sum(map(len, held)) > 20_000_000:
                 yield pd.DataFrame({"word": list(held)}, dtype=object)
                 held.clear()
         yield pd.DataFrame({"word": list(held)}, dtype=object)

@@ -45,6 +45,24 @@ def syllable(word: str) -> bool:
     return coda not in ("c", "ch", "p", "t") or (bool(tone) and tone[0] in "̣́")
 
 
+@functools.cache
+def _beginnings() -> frozenset[str]:
+    """What a well-formed syllable may begin with, without tones."""
+    rimes = [*CLOSED, *(n + c for n in NUCLEI for c in ("", *CODAS))]
+    whole = [o + r for o in ("", *ONSETS) for r in rimes] + ["gi" + c for c in CODAS]
+    return frozenset(w[:k] for w in whole for k in range(len(w) + 1))
+
+
+@functools.lru_cache(maxsize=200_000)
+def beginning(text: str) -> bool:
+    """Whether a well-formed syllable may begin with `text`."""
+    if len(text) > 7:
+        return False
+    parts = unicodedata.normalize("NFD", text.lower())
+    bare = unicodedata.normalize("NFC", "".join(c for c in parts if c not in TONES))
+    return bare in _beginnings() and sum(c in TONES for c in parts) <= 1
+
+
 #: Fixed: letters of other scripts that look like Latin ones (or like đ), by the Latin letter they stand for.
 ALIKE = {
     "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іιıӏɩ", "j": "јϳ", "k": "кκᴋ", "l": "ⅼ", "m": "мᴍ", "n": "ոпռ",
