@@ -114,24 +114,33 @@ def _automaton() -> ahocorasick.Automaton:
     return _AUTOMATON
 
 
-def find_email(text: str, start: int, end: int) -> Span | None:
-    """The address around an at-sign at text[start:end]."""
+def _match(pattern: re.Pattern[str], text: str, at: int, reach: int) -> re.Match[str] | None:
+    """The pattern's match at `at`; a match that ends near the reach's end is sought again with twice the reach."""
+    while (m := pattern.match(text, at, at + reach)) and at + reach < len(text) and m.end() > at + reach - 32:
+        reach *= 2
+    return m
+
+
+def find_email(text: str, start: int, end: int, reach: int = 80) -> Span | None:
+    """The address around an at-sign at text[start:end]; a local part that fills the reach is sought again with twice the reach."""
     sign = text[start:end]
-    left = text[max(0, start - 80) : start]
+    left = text[max(0, start - reach) : start]
     if sign in "@＠" or sign[0] in "([{":
         spaces = len(left) - len(left.rstrip(" "))
         left = left.rstrip(" ") if spaces <= 2 else ""
         strict = spaces > 0
     else:
         strict = True
-    local, domain = _LOCAL.search(left), _DOMAIN.match(text, end, end + 160)
+    local, domain = _LOCAL.search(left), _match(_DOMAIN, text, end, 160)
     if not local or not domain:
         return None
+    if start > reach and not left[: local.start()].strip("._%+-"):
+        return find_email(text, start, end, 2 * reach)
     if sign.strip().lower() == "at" and not (sign.strip() == "AT" or _SPELLED_DOT.search(domain[1])):
         return None
     if strict and local[0].isalpha() and len(local[0]) < 2:
         return None
-    at = max(0, start - 80) + local.start()
+    at = max(0, start - reach) + local.start()
     return Span(at, domain.end(1), EMAIL)
 
 
@@ -188,12 +197,15 @@ def _full(digits: str) -> bool:
     return len(digits) == 11 and digits[:2] in ("02", "01")
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _spelled(text: str, low: str, start: int) -> Span | None:
     at, n, last = start, 0, start
-    for m in re.finditer(r"[^\W\d_]+", low[start : start + 120]):
-        if m[0] not in DIGIT_WORDS or low[at : start + m.start()].strip(" -,."):
+    for m in _LETTERS.finditer(low, start):
+        if m[0] not in DIGIT_WORDS or low[at : m.start()].strip(" -,."):
             break
-        n, at = n + 1, start + m.end()
+        n, at = n + 1, m.end()
         last = at
         if n == 11:
             break
@@ -202,7 +214,7 @@ def _spelled(text: str, low: str, start: int) -> Span | None:
 
 def find_id(text: str, end: int) -> Span | None:
     """The identity number that follows a cue ending at `end`."""
-    link = _ID_LINK.match(text, end, end + 40)
+    link = _match(_ID_LINK, text, end, 40)
     value = _ID_VALUE.match(text, link.end() if link else end)
     return Span(value.start(), value.end(), ID) if value else None
 
@@ -213,8 +225,8 @@ def find_address(text: str, end: int) -> Span | None:
     while at < len(text) and text[at] in " :\"'( ":
         at += 1
     if at < len(text) and (text[at].isdecimal() or text[at] in "sScCnN"):
-        m = _ADDRESS.match(text, at, at + 220)
-        english = _EN_STREET.match(text, at, at + 160)
+        m = _match(_ADDRESS, text, at, 220)
+        english = _match(_EN_STREET, text, at, 160)
         if english and (not m or english.end() >= m.end()):
             m = english
         if m:
@@ -222,9 +234,12 @@ def find_address(text: str, end: int) -> Span | None:
     return None
 
 
+_NAME = re.compile(rf"{_CAP}(?: {_CAP}){{1,4}}")
+
+
 def find_name(text: str, start: int, sure: bool) -> Span | None:
     """The Vietnamese name that begins at `start`; unless `sure`, what stands before must not say it is a street or firm."""
-    m = re.compile(rf"{_CAP}(?: {_CAP}){{1,4}}").match(text, start, start + 60)
+    m = _match(_NAME, text, start, 60)
     if not m:
         return None
     words = m[0].split(" ")
@@ -276,7 +291,7 @@ def _cue_name(text: str, at: int, word: str) -> list[Span]:
         known = _flat(first[0]).lower() in _SURNAMES
         span = find_name(text, at, True) if known else None
         if span is None and not known and word.strip(" .:") in ("contact", "photo by", "lists", "said", "signed by", "written by", "author", "mr", "mrs", "ms", "miss", "dr", "dear", "name", '"name": "'):
-            m = _EN_NAME.match(text, at, at + 60)
+            m = _match(_EN_NAME, text, at, 60)
             span = Span(m.start(), m.end(), NAME) if m else None
         if span is None:
             return out
