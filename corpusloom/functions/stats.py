@@ -145,3 +145,9 @@ def complete_steps(samples: Column, batch: int, epochs: int) -> Column:
 def larger_counts(a: Column, b: Column) -> Column:
     """Two maps of counters merged by the larger value per key."""
     return F.map_zip_with(a, b, lambda _, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
+
+
+def mean_rate(ms: Column, tokens: Column) -> Column:
+    """Tokens a second as the inverse of the mean time per token; rows without positive numbers do not count."""
+    per = F.avg(F.when((ms > 0) & (tokens > 0), ms / tokens))
+    return F.try_divide(F.lit(1000.0), per)

@@ -306,3 +306,13 @@ def token_ids_hash(ids: Column, prefix: bytes = b"") -> Column:
 def decoded(x: Column) -> Column:
     """Decoded text for comparing: compatibility form, white space runs as one space, stripped."""
     return strip(F.regexp_replace(nfkc(x), f"{SPACE}+", " "))
+
+
+def rouge_folded(hyp: Column, ref: Column, n: int) -> Column:
+    """(p, r, f) of ROUGE-N on case-folded tokens; a side with fewer than n tokens gives 0, not null."""
+    return rouge_n(tokens_folded(hyp), tokens_folded(ref), n)
+
+
+def utc_iso(ts: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC with its offset, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,39 @@ def shows(log: DataFrame, marks: list[str], last: int = 65_536, line: str = "lin
     for m in marks:
         hit = hit | F.coalesce(F.contains(text, F.lit(m.lower())), F.lit(False))
     return cut_.groupBy("file").agg(F.some(hit).alias("found"))
+
+
+def fan_out(df: DataFrame, call: Callable[[str, dict], str], endpoints: Sequence[str], workers: int = 8, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """`df` with output, error, endpoint, attempts and history of calling a service for each row.
+
+    Every partition keeps up to `workers` calls under way and gives its rows back in their order. A failed call goes on
+    to the next endpoint after a pause that doubles; after `tries` the row has the last error and no output. history
+    names each failed attempt. `call` is given an endpoint and the row, and must bear being repeated: a lost task runs
+    again.
+    """
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pandas as pd
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def ask(at: int, row: dict) -> tuple:
+        history: list[str] = []
+        for k in range(tries):
+            endpoint = endpoints[(at + k) % len(endpoints)]
+            try:
+                return call(endpoint, row), None, endpoint, k + 1, history
+            except Exception as e:  # whatever the service does wrong is told in the row
+                history.append(f"{endpoint}: {type(e).__name__}: {e}")
+                if k + 1 < tries:
+                    time.sleep(pause * 2**k)
+        return None, history[-1], endpoint, tries, history
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(workers) as pool:
+            for f in frames:
+                made = list(pool.map(ask, range(len(f)), f.to_dict("records")))
+                yield f.assign(**{c: [m[i] for m in made] for i, c in enumerate(("output", "error", "endpoint", "attempts", "history"))})
+
+    return df.mapInPandas(of, f"{types}, output string, error string, endpoint string, attempts int, history array<string>")

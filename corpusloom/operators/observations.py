@@ -148,3 +148,54 @@ def components(df: DataFrame, reference: DataFrame, keys: list[str], measures: l
 def within(a: Column, b: Column, tolerance: float = 0.0005) -> Column:
     """Whether a stored value agrees with a recomputed one, relatively."""
     return F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1e-12))
+
+
+#: Fixed: the timing and the speculative measures of the grouped statistics.
+TIMING = ["model_load_ms", "queue_ms", "prefill_ms", "ttft_ms", "decode_ms", "e2e_ms", "pipeline_e2e_ms", "tpot_ms", "itl_ms", "mean_itl_ms", "draft_ms", "verify_ms", "compression_ms", "retrieval_ms", "tokenize_ms", "detokenize_ms", "throughput_tok_s", "decode_tok_s", "peak_memory_gb"]
+SPECULATIVE = ["verification_steps", "draft_tokens_accepted", "draft_tokens_proposed", "avg_accept_length", "accepted_draft_tokens_per_step", "acceptance_rate", "acceptance_rate_percent", "rejected_draft_ratio"]
+
+
+def statistics(df: DataFrame, keys: list[str], measures: list[str] = TIMING) -> DataFrame:
+    """keys and mean, median, p90 and deviation of those of `measures` that `df` has, over its successful rows."""
+    good = df.where(F.col("status") == "success") if "status" in df.columns else df
+    return S.summary(good, keys, [m for m in measures if m in df.columns])
+
+
+def generation_summary(df: DataFrame, keys: list[str], lengths: str = "accept_lengths", tokens: str = "output_tokens", ms: str = "e2e_ms") -> DataFrame:
+    """keys, samples, tokens, tokens_per_s (all tokens over all time), mean_rate, steps, mean_accept_length over all steps of all rows.
+
+    Acceptance lengths are summed in their rows before they are added up; nothing is exploded.
+    """
+    own = F.coalesce(F.col(lengths), F.array().cast("array<int>"))
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    n = F.sum(F.size(own))
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.sum(tokens).alias("tokens"), F.round(F.try_divide(F.sum(tokens) * 1000.0, F.sum(ms)), 4).alias("tokens_per_s"),
+        F.round(S.mean_rate(F.col(ms), F.col(tokens)), 4).alias("mean_rate"), n.alias("steps"), F.round(F.try_divide(F.sum(total), n), 4).alias("mean_accept_length"),
+    )
+
+
+def stability(df: DataFrame, keys: list[str], group: list[str], output: str, time: str) -> DataFrame:
+    """group, samples, repeated, stable, stable_rate, worst_spread over the repeats of each sample (`keys` with `group`).
+
+    A sample is stable if all its successful repeats have one output; its spread is the longest time over the shortest.
+    """
+    good = df.where(F.col("status") == "success")
+    per = good.groupBy(*group, *keys).agg(F.count("*").alias("n"), (F.min(output).eqNullSafe(F.max(output)) & (F.count(output).isin(0) | (F.count(output) == F.count("*")))).alias("same"), F.try_divide(F.max(time), F.min(time)).alias("spread"))
+    twice = F.col("n") > 1
+    stable = F.count_if(twice & F.col("same"))
+    return per.groupBy(*group).agg(F.count("*").alias("samples"), F.count_if(twice).alias("repeated"), stable.alias("stable"), F.round(S.ratio(stable, F.count_if(twice)), 4).alias("stable_rate"), F.round(F.max(F.when(twice, F.col("spread"))), 4).alias("worst_spread"))
+
+
+def response_metrics(metadata: Column) -> Column:
+    """A map of numbers in milliseconds of a response's metadata map: names in `_s` or `_seconds` are scaled, `_ms` and others stay.
+
+    What is no finite number is left out; the scaled name ends in `_ms`.
+    """
+    number = lambda v: F.when(F.abs(v.try_cast("double")) < float("inf"), v.try_cast("double"))
+    kept = F.map_filter(F.transform_values(metadata, lambda k, v: number(v)), lambda k, v: v.isNotNull())
+    seconds = lambda k: k.rlike("_(s|seconds)$")
+    entry = lambda e: F.struct(F.when(seconds(e["key"]), F.regexp_replace(e["key"], "_(s|seconds)$", "_ms")).otherwise(e["key"]).alias("key"), F.when(seconds(e["key"]), e["value"] * 1000.0).otherwise(e["value"]).alias("value"))
+    entries = F.transform(F.map_entries(kept), entry)
+    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(first)

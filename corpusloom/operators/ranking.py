@@ -64,3 +64,10 @@ def natural_key(x: Column) -> list[Column]:
     """Sort keys of file names: the first number in it, then the name."""
     digits = F.regexp_extract(x, r"(\d+)", 1)
     return [F.coalesce(digits.try_cast("long"), F.lit(-1)), x]
+
+
+def keep_last_counted(df: DataFrame, keys: list[str], order: list[str], repeats: str = "repeats") -> DataFrame:
+    """Of each group the last row by `order`, with how many rows before it were dropped; one pre-aggregated maximum."""
+    others = [c for c in df.columns if c not in keys and c not in order]
+    g = df.groupBy(*keys).agg(F.max(F.struct(*order, *others)).alias("_r"), (F.count("*") - 1).alias(repeats))
+    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in (*order, *others)], repeats)

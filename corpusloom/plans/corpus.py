@@ -253,13 +253,19 @@ def nonempty_split(spark, base):
     return P.non_empty_split(d.withColumn("text", F.coalesce("text", F.lit(""))), "text", ["doc_id"]).select("doc_id", "split")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOCS}, o AS (SELECT doc_id, words, CAST(doc_id // 1000 AS BIGINT) AS batch, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY words DESC, doc_id) AS i FROM docs WHERE words > 0),
+g AS (SELECT doc_id, words, batch, i, CAST(0 AS INT) AS shard, [words, 0, 0, 0]::BIGINT[] AS load FROM o WHERE i = 1 UNION ALL
+SELECT o.doc_id, o.words, o.batch, o.i, CAST(list_position(load, list_min(load)) - 1 AS INT), list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + o.words ELSE x END) FROM g JOIN o ON o.batch = g.batch AND o.i = g.i + 1)
+SELECT batch, doc_id, words, shard FROM g""")
 def lpt_shards(spark, base):
     d = documents(spark, base).where("words > 0").select("source", "doc_id", "words")
     return P.balanced_shards(d.withColumn("batch", F.floor(F.col("doc_id") / 1000)), ["batch"], "doc_id", "words", 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOCS}, o AS (SELECT doc_id, words, CAST(doc_id // 256 AS BIGINT) AS "window", row_number() OVER (PARTITION BY doc_id // 256 ORDER BY words, doc_id) AS i FROM docs WHERE words > 0),
+g AS (SELECT doc_id, words, "window", i, CAST(0 AS INT) AS batch, 1 AS held FROM o WHERE i = 1 UNION ALL
+SELECT o.doc_id, o.words, o."window", o.i, CASE WHEN held = 16 OR (held + 1) * o.words > 4096 THEN batch + 1 ELSE batch END, CASE WHEN held = 16 OR (held + 1) * o.words > 4096 THEN 1 ELSE held + 1 END FROM g JOIN o ON o."window" = g."window" AND o.i = g.i + 1)
+SELECT doc_id, words, "window", batch FROM g""")
 def length_bucket_batches(spark, base):
     return P.batches(documents(spark, base).where("words > 0"), "doc_id", "words", 16, 4096, 256)
 

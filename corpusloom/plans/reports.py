@@ -245,3 +245,27 @@ GROUP BY problem UNION ALL SELECT 'wrong_count', 1 FROM (SELECT count(*) AS n FR
 def evaluation_set_problems(spark, base):
     r = table(spark, base, "corpus_records").select("id", "document_words", "reference_words", F.lit("x").alias("document"), F.lit("x").alias("reference"), F.array(F.lit("x")).alias("answers"), F.col("category").alias("length_bin"))
     return C.evaluation_set(r, 20, 5000, 400).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+_SPEC = ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(quantile_cont({c}, 0.5), 4) AS {c}_median, round(quantile_disc({c}, 0.9), 4) AS {c}_p90, round(stddev_pop({c}), 4) AS {c}_std" for c in ("draft_tokens_accepted", "acceptance_rate"))
+
+
+@query(f"WITH {OBS}, x AS (SELECT method, CAST(supplier AS DOUBLE) AS draft_tokens_accepted, round(CAST(supplier AS DOUBLE) / (supplier + part % 3 * 10), 6) AS acceptance_rate FROM obs WHERE status = 'success' AND supplier > 0) SELECT method, {_SPEC} FROM x GROUP BY method")
+def speculative_stats(spark, base):
+    o = observations(spark, base).where("status = 'success' AND supplier > 0")
+    made = o.select("method", O.acceptance(F.col("supplier"), F.col("supplier") + F.col("part") % 3 * 10, F.lit(1)).alias("x")).select("method", "x.draft_tokens_accepted", "x.acceptance_rate")
+    return O.statistics(made, ["method"], ["draft_tokens_accepted", "acceptance_rate"])
+
+
+@query(f"""WITH {OBS}, x AS (SELECT method, output_tokens, e2e_ms, part % 4 AS k, supplier % 5 AS v FROM obs) SELECT method, count(*) AS samples, CAST(sum(output_tokens) AS BIGINT) AS tokens, round(sum(output_tokens) * 1000.0 / sum(e2e_ms), 4) AS tokens_per_s,
+round(1000.0 / avg(e2e_ms / output_tokens), 4) AS mean_rate, CAST(sum(k) AS BIGINT) AS steps, round(CAST(sum(k * v) AS DOUBLE) / sum(k), 4) AS mean_accept_length FROM x GROUP BY method""")
+def generation_summary(spark, base):
+    o = observations(spark, base).withColumn("accept_lengths", F.array_repeat((F.col("supplier") % 5).cast("int"), (F.col("part") % 4).cast("int")))
+    return O.generation_summary(o, ["method"])
+
+
+@query(f"""WITH {OBS}, p AS (SELECT method, dataset, sample_id, count(*) AS n, min(part % 2) = max(part % 2) AS same, max(e2e_ms) / min(e2e_ms) AS spread FROM obs WHERE status = 'success' GROUP BY ALL)
+SELECT method, count(*) AS samples, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE n > 1 AND same) AS stable, round(count(*) FILTER (WHERE n > 1 AND same) / CASE WHEN count(*) FILTER (WHERE n > 1) > 0 THEN count(*) FILTER (WHERE n > 1) END, 4) AS stable_rate, round(max(spread) FILTER (WHERE n > 1), 4) AS worst_spread FROM p GROUP BY method""")
+def repeat_stability(spark, base):
+    o = observations(spark, base).withColumn("output", F.col("part") % 2)
+    return O.stability(o, KEYS, ["method"], "output", "e2e_ms")

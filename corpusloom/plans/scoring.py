@@ -87,7 +87,15 @@ def rouge_by_source(spark, base):
     )
 
 
-@query()
+def _lcs_sql(source: str, key: str) -> str:
+    """Rows `l` of key, a, b (lengths) and n, the longest common subsequence of the lists h and r: its table row by row."""
+    step = "list_reduce(range(1, len(r) + 1), lambda acc, j: list_append(acc, CASE WHEN h[i + 1] = r[j] THEN t[j] + 1 ELSE greatest(t[j + 1], acc[len(acc)]) END), [0::BIGINT])"
+    return f"""{source}, d AS (SELECT {key}, h, r, CAST(0 AS BIGINT) AS i, list_transform(range(len(r) + 1), lambda x: 0::BIGINT) AS t FROM hr UNION ALL SELECT {key}, h, r, i + 1, {step} FROM d WHERE i < len(h)),
+l AS (SELECT {key}, len(h) AS a, len(r) AS b, t[len(t)] AS n FROM d WHERE i = len(h))"""
+
+
+@query(f"""WITH RECURSIVE {_lcs_sql(_PAIRS + ", hr AS (SELECT row_id, h, r FROM p)", "row_id")}
+SELECT row_id, round(CASE WHEN a > 0 AND b > 0 THEN n / a ELSE 0 END, 4) AS rougeL_p, round(CASE WHEN a > 0 AND b > 0 THEN n / b ELSE 0 END, 4) AS rougeL_r, round(CASE WHEN n > 0 THEN 2 * n / (a + b) ELSE 0 END, 4) AS rougeL_f FROM l""")
 def rouge_l_pairs(spark, base):
     s = X.overlap_scores(F.col("l"), F.size("h"), F.size("r"))
     return _pairs(spark, base).withColumn("l", X.lcs(F.col("h"), F.col("r"))).select("row_id", F.round(s["p"], 4).alias("rougeL_p"), F.round(s["r"], 4).alias("rougeL_r"), F.round(s["f"], 4).alias("rougeL_f"))
@@ -213,7 +221,7 @@ def truncated_sequences(spark, base):
     return _sequences(spark, base).select("sample_id", F.array_join(A.head_tail(a, 4, 2), ",").alias("cut"), F.array_join(A.until(a, F.lit(2).cast("long")), ",").alias("until_stop"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_lcs_sql(_SEQ + ", hr AS (SELECT sample_id, a AS h, b AS r FROM f)", "sample_id")} SELECT sample_id, CAST(n AS INT) AS lcs, round(n / b, 6) AS overlap FROM l""")
 def token_lcs(spark, base):
     a, b = F.col("a"), F.col("b")
     d = _sequences(spark, base).withColumn("lcs", X.lcs(a, b))

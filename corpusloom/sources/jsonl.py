@@ -199,3 +199,41 @@ def code_fingerprint(spark: SparkSession, root: str, names: list[str]) -> str:
 def natural(paths: list[str]) -> list[str]:
     """By the first number in the file name, then by name."""
     return sorted(paths, key=lambda p: (int(m[0]) if (m := re.search(r"\d+", Path(p).name)) else -1, Path(p).name))
+
+
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """`df`, which must have a row."""
+    if df.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return df
+
+
+def feature_files(spark: SparkSession, root: str, length: int, width: int) -> DataFrame:
+    """path, n, problem of the `.npz` feature files below a folder: input_ids, loss_mask and hidden_states of one example each.
+
+    A file is read when its row is asked for, in the task that has it; the problem is that of
+    `contracts.feature_problem`, unreadable for a file that is none, null for a good one.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    from corpusloom.operators.contracts import feature_problem
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        got = [z[k].tolist() if k in z else None for k in ("input_ids", "loss_mask", "hidden_states")]
+                    out.append((path, *got, False))
+                except (ValueError, OSError):
+                    out.append((path, None, None, None, True))
+            yield pd.DataFrame(out, columns=["path", "ids", "mask", "states", "bad"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(root).select("path", "content")
+    rows = files.mapInPandas(load, "path string, ids array<long>, mask array<long>, states array<array<double>>, bad boolean")
+    problem = feature_problem(F.col("ids"), F.col("mask"), F.col("states"), length, width)
+    return rows.select("path", F.size("ids").alias("n"), F.when(F.col("bad"), "unreadable").otherwise(problem).alias("problem"))
