@@ -31,13 +31,14 @@ def counter(x: Column) -> Column:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, float], nearest: dict[str, float] | None = None) -> DataFrame:
-    """keys, the named percentiles of a column (linear, or nearest-rank), and mean, std (population), min, max, count of it.
+    """keys, the named percentiles of a column (linear, or nearest-rank), and mean, min, max, count of it.
 
     Exact, from the counts of distinct values: these are pre-aggregated, and a group's ranks are running sums over its
     distinct values, which spill; no state holds a group. Nulls and NaN do not count; a group without numbers is not there.
     """
-    x = number(F.col(value))
-    counts = df.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    # nulls are counted as nothing afterwards: a filter before would evaluate the column twice
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counts = df.groupBy(*keys, x.alias("_v")).agg(F.count("*").alias("_n")).withColumn("_n", F.when(F.col("_v").isNull(), 0).otherwise(F.col("_n")))
     w = Window.partitionBy(*keys)
     ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v"))).withColumn("_total", F.sum("_n").over(w))
     at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
@@ -51,11 +52,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, linear: dict[str, fl
         parts.append(at(F.greatest(F.ceil(F.col("_total") * F.lit(p) - 1e-9), F.lit(1))).alias(name))
         made.append(F.col(name))
     n, v = F.col("_n"), F.col("_v")
-    mean = F.sum(v * n) / F.sum("_n")
-    spread = F.sqrt(F.sum(F.pow(v - F.col("_mean"), 2) * n) / F.sum("_n"))
-    centred = ranked.withColumn("_mean", F.sum(v * n).over(w) / F.col("_total"))
-    g = centred.groupBy(*keys).agg(F.sum("_n").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), spread.alias("std"), *parts)
-    return g.select(*keys, "count", "min", "max", "mean", "std", *made)
+    mean = F.try_divide(F.sum(v * n), F.sum("_n"))
+    g = ranked.groupBy(*keys).agg(F.sum("_n").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), *parts)
+    return g.where(F.col("count") > 0).select(*keys, "count", "min", "max", "mean", *made)
 
 
 def summary(df: DataFrame, keys: list[str], names: list[str], digits: int = 4) -> DataFrame:
@@ -63,10 +62,10 @@ def summary(df: DataFrame, keys: list[str], names: list[str], digits: int = 4) -
 
     A column without numbers in a group has nulls.
     """
-    out = df.select(*keys).distinct()
+    out = df.groupBy(*keys).agg(*[F.round(F.stddev_pop(number(F.col(name))), digits).alias(f"{name}_std") for name in names])
     for name in names:
         p = percentiles(df, keys, name, {"median": 0.5}, {"p90": 0.9})
-        p = p.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.round(c, digits).alias(f"{name}_{c}") for c in ("mean", "median", "p90", "std")])
+        p = p.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.round(c, digits).alias(f"{name}_{c}") for c in ("mean", "median", "p90")])
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         out = out.join(p, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     return out

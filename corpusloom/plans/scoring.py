@@ -95,7 +95,7 @@ l AS (SELECT {key}, len(h) AS a, len(r) AS b, t[len(t)] AS n FROM d WHERE i = le
 
 
 @query(f"""WITH RECURSIVE {_lcs_sql(_PAIRS + ", hr AS (SELECT row_id, h, r FROM p)", "row_id")}
-SELECT row_id, round(CASE WHEN a > 0 AND b > 0 THEN n / a ELSE 0 END, 4) AS rougeL_p, round(CASE WHEN a > 0 AND b > 0 THEN n / b ELSE 0 END, 4) AS rougeL_r, round(CASE WHEN n > 0 THEN 2 * n / (a + b) ELSE 0 END, 4) AS rougeL_f FROM l""")
+SELECT row_id, round(CASE WHEN a > 0 AND b > 0 THEN n / a ELSE 0 END, 4) AS rougeL_p, round(CASE WHEN a > 0 AND b > 0 THEN n / b ELSE 0 END, 4) AS rougeL_r, round(CASE WHEN n > 0 THEN 2 * (n / a) * (n / b) / (n / a + n / b) ELSE 0 END, 4) AS rougeL_f FROM l""")
 def rouge_l_pairs(spark, base):
     s = X.overlap_scores(F.col("l"), F.size("h"), F.size("r"))
     return _pairs(spark, base).withColumn("l", X.lcs(F.col("h"), F.col("r"))).select("row_id", F.round(s["p"], 4).alias("rougeL_p"), F.round(s["r"], 4).alias("rougeL_r"), F.round(s["f"], 4).alias("rougeL_f"))
