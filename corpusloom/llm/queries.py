@@ -19,6 +19,21 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
 
 
+def p1_classes(spark: SparkSession, base: str) -> DataFrame:
+    """The overlaps without a pair of rows each: class pairs with their overlaps and how many rows each class has on its side."""
+    members, pairs_ = overlap.overlaps(table(spark, base, "summary_records"))
+    training = F.col("split") == overlap.TRAINING
+    rows = members.groupBy("text_id").agg(F.count_if(training).alias("train"), F.count_if(~training).alias("other"))
+    left = rows.select(F.col("text_id").alias("a"), F.col("train").alias("train_rows"))
+    right = rows.select(F.col("text_id").alias("b"), F.col("other").alias("eval_rows"))
+    return pairs_.join(left, "a").join(right, "b").select("a", "b", "overlap_a", "overlap_b", "train_rows", "eval_rows")
+
+
+def p1_members(spark: SparkSession, base: str) -> DataFrame:
+    """The class of every row that has one: row_id, split, source, text_id."""
+    return overlap.overlaps(table(spark, base, "summary_records"))[0]
+
+
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
     return overlap.report(*overlap.overlaps(table(spark, base, "summary_records")))
 
@@ -97,6 +112,8 @@ def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p1_members": p1_members,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
