@@ -55,7 +55,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             column[single] = 1
         if gain <= 1 + 1e-7:
             break
-        step = inverse @ column
+        used = np.flatnonzero(column)
+        step = (inverse[:, used] * column[used]).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, x / step, np.inf)
         out = int(ratio.argmin())
